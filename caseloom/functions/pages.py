@@ -6,7 +6,7 @@ The patterns are fixed values: they decide which text counts as which field.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from caseloom.functions.text import WS, decode_entities, js_trim, or_default, squash, strip_html, text
+from caseloom.functions.text import WS, decode_entities, js_trim, let, or_default, squash, strip_html, text
 from caseloom.functions.urls import normalise_product_url, normalise_product_urls
 
 # ASCII word boundaries; Java's \b also counts accented letters as word characters.
@@ -48,8 +48,8 @@ def _product_urls(hrefs: Column, base: str, prefix: str) -> Column:
 def product_links(html: Column, base: str, prefix: str) -> Column:
     """Distinct product URLs of a page: those of product anchors, or of any href when no anchor has one."""
     anchors = F.transform(_all(html, PRODUCT_ANCHOR, 0), lambda a: F.regexp_extract(a, ANCHOR_HREF, 1))
-    marked = _product_urls(anchors, base, prefix)
-    return F.when(F.size(marked) > 0, marked).otherwise(_product_urls(_all(html, ANY_HREF), base, prefix))
+    every = _product_urls(_all(html, ANY_HREF), base, prefix)
+    return let(_product_urls(anchors, base, prefix), lambda marked: F.when(F.size(marked) > 0, marked).otherwise(every))
 
 
 def has_next_page(html: Column, page_no: Column) -> Column:
@@ -58,9 +58,11 @@ def has_next_page(html: Column, page_no: Column) -> Column:
     All page numbers are pulled with one constant pattern, which is compiled once;
     a pattern built per row would be compiled per row.
     """
-    shown = strip_html(html)
-    numbers = _all(shown, PAGE_NUMBER)
-    return F.array_contains(numbers, (page_no + 1).cast("string")) | shown.rlike("(?i)Page Next")
+    following = (page_no + 1).cast("string")
+    return let(
+        strip_html(html),
+        lambda shown: F.array_contains(_all(shown, PAGE_NUMBER), following) | shown.rlike("(?i)Page Next"),
+    )
 
 
 def meta_description(html: Column) -> Column:
@@ -78,32 +80,35 @@ def price_text(html: Column) -> Column:
 def sku(html: Column) -> Column:
     """The cell behind the label, else the first code near it; the label itself is refused."""
     def usable(pattern: str) -> Column:
-        value = squash(strip_html(_first(html, pattern)))
-        return F.when(F.upper(value) != "SKU", F.nullif(value, F.lit("")))
+        return let(
+            squash(strip_html(_first(html, pattern))),
+            lambda value: F.when((value != "") & (F.upper(value) != "SKU"), value),
+        )
 
     return F.coalesce(usable(SKU_CELL), usable(SKU_CODE), F.lit(""))
 
 
 def specs(html: Column) -> Column:
     """Key/value pairs of the "More Information" table: last value wins, first position stays."""
-    def pair(row: Column) -> Column:
-        cells = _all(row, SPEC_CELL)
+    def pair(cells: Column) -> Column:
         return F.struct(
             squash(strip_html(F.get(cells, F.lit(0)))).alias("key"),
             squash(strip_html(F.get(cells, F.lit(1)))).alias("value"),
         )
 
-    pairs = F.filter(
-        F.transform(_all(_first(html, SPEC_TABLE), SPEC_ROW), pair),
-        lambda p: (p["key"] != "") & (p["value"] != ""),
-    )
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    return F.transform(
-        keys,
-        lambda k: F.struct(
-            k.alias("key"), F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"].alias("value")
-        ),
-    )
+    def settled(pairs: Column) -> Column:
+        keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
+        return F.transform(
+            keys,
+            lambda k: F.struct(
+                k.alias("key"),
+                F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"].alias("value"),
+            ),
+        )
+
+    rows = F.transform(_all(_first(html, SPEC_TABLE), SPEC_ROW), lambda row: _all(row, SPEC_CELL))
+    pairs = F.filter(F.transform(rows, pair), lambda p: (p["key"] != "") & (p["value"] != ""))
+    return let(pairs, settled)
 
 
 def availability(html: Column) -> Column:
@@ -128,5 +133,5 @@ def category_trail(html: Column) -> Column:
 def canonical_url(html: Column, page_url: Column, base: str, prefix: str) -> Column:
     """Canonical link, else og:url, else the page's own URL; a chosen value that is no product falls to the last."""
     chosen = or_default(_first(html, CANONICAL), or_default(_first(html, OG_URL), text(page_url)))
-    both = F.filter(normalise_product_urls(F.array(chosen, page_url), base, prefix), lambda url: url != "")
-    return F.coalesce(F.get(both, F.lit(0)), F.lit(""))
+    usable = F.filter(normalise_product_urls(F.array(chosen, page_url), base, prefix), lambda url: url != "")
+    return F.coalesce(F.get(usable, F.lit(0)), F.lit(""))

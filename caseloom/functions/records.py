@@ -40,9 +40,11 @@ def parse_specs(c: Column) -> Column:
     return F.coalesce(F.map_entries(F.from_json(c, "map<string,string>")), F.array()).cast(SPECS)
 
 
-def usage_columns(usage_json: Column) -> dict[str, Column]:
-    """Token counts; either key spelling, the first that is not zero, total from its parts when absent."""
-    usage = F.from_json(usage_json, USAGE_SCHEMA)
+def usage_columns(usage: Column) -> dict[str, Column]:
+    """Token counts of a document read with ``USAGE_SCHEMA``.
+
+    Either key spelling, the first that is not zero; the total from its parts when absent.
+    """
 
     def count(*names: str) -> Column:
         values = [F.nullif(usage[name].try_cast("bigint"), F.lit(0)) for name in names]

@@ -6,6 +6,8 @@ All functions treat NULL as blank and return text, never NULL. Cuts count
 characters, so none is ever halved.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,15 @@ WS_CHARS = (
 ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">")]
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` names it.
+
+    Common parts of conditional branches and lambdas are not shared by the planner, which
+    would run a pattern over a page once per mention.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom import schemas
-from caseloom.functions.records import is_transient, read_variant, usage_columns
+from caseloom.functions.records import USAGE_SCHEMA, is_transient, read_variant, usage_columns
 from caseloom.functions.text import clean_text, or_default, slug, text
 from caseloom.operators.keyed import newest, union_all, upsert
 from caseloom.sources.tables import conform
@@ -104,8 +104,9 @@ def capped_log(df: DataFrame, tie: list[str], cap: int = CAPPED) -> DataFrame:
 
 
 def usage(runs: DataFrame) -> DataFrame:
-    """Token counts of every run."""
-    return runs.select("request_id", *[c.alias(n) for n, c in usage_columns(F.col("usage_json")).items()])
+    """Token counts of every run. The document is read in a step of its own, so once for all its fields."""
+    read = runs.select("request_id", F.from_json("usage_json", USAGE_SCHEMA).alias("usage"))
+    return read.select("request_id", *[c.alias(n) for n, c in usage_columns(F.col("usage")).items()])
 
 
 def transient_errors(runs: DataFrame) -> DataFrame:

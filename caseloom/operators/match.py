@@ -1,10 +1,10 @@
 """Ranking products or earlier cases against a text by shared words.
 
 Only the newest 250 rows of a category are candidates. That is the rule of the
-job, and it bounds a category's pool, so one row can hold it: each target meets
-its category's pool once and is scored and cut to its best inside its own row.
-Pairs are never spread over rows before the cut, and the targets, the side that
-grows, are not shuffled while the pools are small enough to broadcast.
+job, and it bounds what a target can meet. The candidates' words form an inverted
+list; each target looks its own distinct words up there and counts the hits. The
+targets, the side that grows, are shuffled once, by target; counting and cutting to
+the best then need no further shuffle.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -18,58 +18,61 @@ from caseloom.sources.tables import stage
 
 # Candidates per category, and results per target.
 CANDIDATES, BEST = 250, 5
-# Broadcast the pools up to this many words and this many categories; both are counted first.
-BROADCAST_WORDS, BROADCAST_SCOPES = 2_000_000, 20_000
-# Copies of the pools beyond that, so a hot category's targets spread over that many tasks.
+# Broadcast the inverted list up to this many entries (some 200 MB); they are counted first.
+BROADCAST_ENTRIES = 3_000_000
+# Beyond that, copies of the list, so a word every target has spreads over that many tasks.
 SALTS = 32
 
 
-def candidate_pools(
+def candidate_pool(
     candidates: DataFrame, scope: str, key: str, recency: str, words: Column, n: int = CANDIDATES
 ) -> DataFrame:
-    """``(scope, pool)``: the newest ``n`` candidates of each scope with their distinct words."""
-    best = newest_per_group(candidates, scope, recency, [key], n)
-    entry = F.struct(F.col(key).alias("key"), F.col(recency).alias("recency"), words.alias("words"))
-    return best.groupBy(F.col(scope).alias("scope")).agg(F.collect_list(entry).alias("pool"))
-
-
-def _meet(targets: DataFrame, pools: DataFrame) -> DataFrame:
-    """Each target with its scope's pool: broadcast when counted small, else a salted join."""
-    size = pools.agg(
-        F.count(F.lit(1)).alias("scopes"),
-        F.sum(F.aggregate(F.col("pool"), F.lit(0), lambda n, p: n + F.size(p["words"]))).alias("words"),
-    ).first()
-    if size["scopes"] <= BROADCAST_SCOPES and (size["words"] or 0) <= BROADCAST_WORDS:
-        return targets.join(F.broadcast(pools), "scope")
-    salted = targets.withColumn("_salt", F.pmod(F.xxhash64("target_id"), F.lit(SALTS)).cast("int"))
-    copies = pools.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, ["scope", "_salt"]).drop("_salt")
-
-
-def _scores() -> Column:
-    """Candidates sharing a word with the target: most shared first, then newest, then by key."""
-    scored = F.transform(
-        "pool",
-        lambda p: F.struct(
-            (-F.size(F.array_intersect(F.col("words"), p["words"]))).alias("rank_by"),
-            (-F.unix_micros(p["recency"].cast("timestamp"))).alias("age"),
-            p["key"].alias("key"),
-        ),
+    """``(scope, place, key, words)``: the newest ``n`` candidates of each scope, newest in place 1."""
+    best = newest_per_group(candidates, scope, recency, [key], n, "place")
+    return best.select(F.col(scope).alias("scope"), "place", F.col(key).alias("key"), words.alias("words"))
+
+
+def _hits(targets: DataFrame, pool: DataFrame) -> DataFrame:
+    """A row ``(target_id, scope, place)`` per word a target shares with a candidate of its scope."""
+    inverted = pool.select("scope", "place", F.explode("words").alias("word"))
+    asked = targets.select("target_id", "scope", F.explode("words").alias("word"))
+    entries = pool.agg(F.sum(F.size("words"))).first()[0] or 0
+    if entries <= BROADCAST_ENTRIES:
+        met = asked.join(F.broadcast(inverted), ["scope", "word"])
+    else:
+        salted = asked.withColumn("_salt", F.pmod(F.xxhash64("target_id"), F.lit(SALTS)).cast("int"))
+        copies = inverted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = salted.join(copies, ["scope", "word", "_salt"])
+    return met.select("target_id", "scope", "place")
+
+
+def token_overlap(targets: DataFrame, pool: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """``(target_id, position, key, score)``: the ``k`` candidates sharing most words with each target.
+
+    ``targets`` are ``(target_id, scope, words)``. Equal scores go to the newer candidate,
+    that is the lower place. A target's list is no longer than its pool.
+    """
+    pool = stage(pool, "pool")
+    spark = targets.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = (
+        _hits(targets.repartition(parts, "target_id"), pool)
+        .groupBy("target_id", "scope", "place")
+        .agg(F.count(F.lit(1)).alias("score"))
     )
-    return F.sort_array(F.filter(scored, lambda s: s["rank_by"] < 0))
-
-
-def token_overlap(targets: DataFrame, pools: DataFrame, k: int | None = None) -> DataFrame:
-    """``(target_id, position, key, score)`` for targets ``(target_id, scope, words)``; ``k`` keeps the best."""
-    scored = _scores() if k is None else F.slice(_scores(), 1, k)
-    return (
-        _meet(targets, stage(pools, "pools"))
-        .select("target_id", F.posexplode(scored).alias("_at", "s"))
+    ranked = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("below"), "place"))), 1, k)
+    best = (
+        shared.groupBy("target_id", "scope")
+        .agg(ranked.alias("best"))
+        .select("target_id", "scope", F.posexplode("best").alias("_at", "b"))
         .select(
-            "target_id", (F.col("_at") + 1).cast("bigint").alias("position"), F.col("s.key").alias("key"),
-            (-F.col("s.rank_by")).cast("bigint").alias("score"),
+            "target_id", "scope", F.col("b.place").alias("place"),
+            (F.col("_at") + 1).cast("bigint").alias("position"), (-F.col("b.below")).alias("score"),
         )
     )
+    return best.join(pool.select("scope", "place", "key"), ["scope", "place"]).select(
+        "target_id", "position", "key", "score"
+    )
 
 
 def top_k(scored: DataFrame, k: int = BEST) -> DataFrame:
@@ -82,7 +85,7 @@ def recommend_products(
 ) -> DataFrame:
     """The best active products of each request's category, with the candidate columns and the score."""
     active = catalog.filter("is_active")
-    pools = candidate_pools(
+    pool = candidate_pool(
         active.select("app_category_slug", "product_url", "last_synced_at", "searchable_text"),
         "app_category_slug", "product_url", "last_synced_at", tokens(F.col("searchable_text")), cap,
     )
@@ -90,7 +93,7 @@ def recommend_products(
         F.col(id_column).alias("target_id"), slug(F.col("category")).alias("scope"),
         tokens(recommendation_text()).alias("words"),
     )
-    best = token_overlap(targets, pools, k).withColumnRenamed("key", "product_url")
+    best = token_overlap(targets, pool, k).withColumnRenamed("key", "product_url")
     return best.join(catalog_columns(catalog), "product_url").withColumnRenamed("target_id", id_column)
 
 
@@ -102,10 +105,10 @@ def similar_cases(
     ``cases`` carry ``(scope, case_number, updated_at, search_text, learning_eligible)``; like
     every case list, the pool holds the newest rows of a scope.
     """
-    pools = candidate_pools(
+    pool = candidate_pool(
         cases.filter("learning_eligible"), "scope", "case_number", "updated_at", tokens(F.col("search_text")), cap
     )
-    return token_overlap(targets, pools, k).withColumnRenamed("key", "case_number")
+    return token_overlap(targets, pool, k).withColumnRenamed("key", "case_number")
 
 
 def request_words(requests: DataFrame, id_column: str, scope: Column) -> DataFrame:

@@ -1,4 +1,12 @@
 """All named queries; importing the modules registers them."""
 
-from caseloom.workload import page_queries, text_queries  # noqa: F401
+from caseloom.workload import (  # noqa: F401
+    case_queries,
+    catalog_queries,
+    log_queries,
+    match_queries,
+    page_queries,
+    stream_queries,
+    text_queries,
+)
 from caseloom.workload.registry import ORACLES, QUERIES  # noqa: F401

@@ -211,6 +211,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, sf_dir: str, origin: str) -> DataFrame:
+    """``df`` over all cores when the table it is made from is a file too small to be split."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if table(spark, sf_dir, origin).rdd.getNumPartitions() < cores else df
+
+
 def case_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The good and the bad case table."""
     rows = fixture(spark, sf_dir, "fx_cases").withColumn("category_slug", slug(F.col("category")))
@@ -241,5 +248,5 @@ def hints(spark: SparkSession) -> DataFrame:
 
 
 def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = fixture(spark, sf_dir, "fx_product_pages")
+    pages = spread(fixture(spark, sf_dir, "fx_product_pages"), sf_dir, "part")
     return pages.select(F.col("app_category").alias("source_label"), F.col("product_url").alias("url"), "html")
