@@ -16,7 +16,9 @@ from caseloom.operators.logs import normalise_events, normalise_runs
 from caseloom.sources.tables import read_snapshot, versions, write_snapshot
 
 
-def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1000, glob: str = "*"):
+def file_stream(
+    spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int = 1000, glob: str = "*"
+) -> DataFrame:
     """A stream over Parquet files arriving in a folder."""
     return (
         spark.readStream.schema(schema)

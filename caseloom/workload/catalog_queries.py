@@ -205,8 +205,7 @@ select 'run_2' as run_id, 'scheduled_catalog' as sync_scope, 'completed' as stat
 union all select * from runs where run_id <> 'run_2'"""))
 def save_sync_runs(spark, sf_dir):
     run = C.sync_run(sync(spark, sf_dir).summary, "run_2", "2024-05-31 23:00:00", fx.NOW)
-    fx.tables(spark, sf_dir)
-    runs = spark.sql(fx.oracle(_RUNS)).withColumn("started_at", F.col("started_at").cast("timestamp_ntz"))
+    runs = fx.derived(spark, sf_dir, _RUNS).withColumn("started_at", F.col("started_at").cast("timestamp_ntz"))
     runs = runs.withColumn("finished_at", F.col("finished_at").cast("timestamp_ntz"))
     return C.save_sync_runs(runs, run)
 

@@ -10,12 +10,8 @@ from caseloom.workload.case_queries import NUMBERED
 from caseloom.workload.log_queries import EVENT_ROWS
 from caseloom.workload.registry import query
 
-EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-
-
 def _events(spark, sf_dir):
-    schema = spark.createDataFrame([], EVENTS).schema
-    return jobs.file_stream(spark, sf_dir, schema, glob="events.parquet")
+    return jobs.file_stream(spark, sf_dir, fx.TABLES["events"], glob="events.parquet")
 
 
 def event_rows(stream):
