@@ -46,9 +46,10 @@ def normalise_product_urls(hrefs: Column, base: str, prefix: str) -> Column:
     def halves(address: Column) -> Column:
         authority = F.lower(F.regexp_extract(address, "^(?i)https?://[^/?#]*", 0))
         path = F.regexp_extract(address, "^(?i)https?://[^/?#]*(/[^?#]*)", 1)
+        authority = F.regexp_replace(authority, "//[^@]*@", "//")
+        authority = F.regexp_replace(authority, "^(http://[^:]*):80$|^(https://[^:]*):443$", "$1$2")
         return F.struct(
-            F.regexp_replace(authority, "(?<=//)[^@]*@|(?<=^http://[^:]{1,255}):80$|(?<=^https://[^:]{1,255}):443$", "")
-            .alias("authority"),
+            authority.alias("authority"),
             F.rtrim(path, F.lit("/")).alias("path"),
         )
 

@@ -27,12 +27,19 @@ def listing_links(listing_pages: DataFrame, base: str, prefix: str) -> DataFrame
 
 
 def first_seen(links: DataFrame) -> DataFrame:
-    """Distinct URLs per source with the page and position that showed them first."""
+    """Distinct URLs per source with the page and position that showed them first.
+
+    Page and position travel as one number, which the hash aggregate can hold.
+    """
+    place = F.shiftleft(F.col("page_no").cast("bigint"), 32) + F.col("link_pos")
     return (
         links.filter(F.col("product_url").isNotNull())
         .groupBy("source_label", "product_url")
-        .agg(F.min(F.struct("page_no", "link_pos")).alias("_first"))
-        .select("source_label", "product_url", "_first.page_no", "_first.link_pos")
+        .agg(F.min(place).alias("_place"))
+        .select(
+            "source_label", "product_url", F.shiftright("_place", 32).cast("int").alias("page_no"),
+            F.col("_place").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("link_pos"),
+        )
     )
 
 

@@ -38,22 +38,23 @@ def crawled_products(
 def next_catalog(catalog: DataFrame, products: DataFrame, sources: DataFrame, now) -> DataFrame:
     """Catalog after writing the products and switching off what the synced categories no longer show.
 
-    A product two sources found is taken from the later source. What was written was seen
-    under its own category, and what was not written was seen under none, so the
-    reconcile step only concerns the untouched rows: of those, the ones in a synced
-    category. That needs the one anti join the upsert makes anyway.
+    A product two sources found is taken from the later source. Stored rows stand before
+    every source, so one last-per-URL pass over both is the upsert: one shuffle, and the
+    extracted products are used once. What was written was seen under its own category and
+    what was not written was seen under none, so reconciling only concerns the stored rows
+    that came through: of those, the ones in a synced category.
     """
-    written = C.keep_last_product(products, [], ["source_pos"]).select(*catalog.columns)
+    stored = catalog.withColumn("source_pos", F.lit(-1))
+    rows = stored.unionByName(products.select(*stored.columns))
+    latest = C.keep_last_product(rows, [], ["source_pos"])
     synced = sources.select("app_category_slug", F.lit(True).alias("_synced")).distinct()
-    missing = F.col("_synced").isNotNull()
-    untouched = (
-        catalog.join(written.select("product_url"), "product_url", "left_anti")
-        .join(synced, "app_category_slug", "left")
+    missing = (F.col("source_pos") == -1) & F.col("_synced").isNotNull()
+    return (
+        latest.join(synced, "app_category_slug", "left")
         .withColumn("is_active", F.when(missing, F.lit(False)).otherwise(F.col("is_active")))
         .withColumn("last_synced_at", F.when(missing, as_ntz(now)).otherwise(F.col("last_synced_at")))
         .select(*catalog.columns)
     )
-    return untouched.unionByName(written)
 
 
 def catalog_sync(
@@ -64,13 +65,16 @@ def catalog_sync(
 
     ``sources`` are ``(source_pos, app_category, app_category_slug, source_type, source_label,
     url, query)``, ``links`` ``(source_label, page_no, link_pos, product_url, has_next)`` as
-    ``listing_links`` makes them, ``pages`` ``(url, html)``. With ``staged`` the seen links and
-    the products are written once to the work folder, for when several outputs are used.
+    ``listing_links`` makes them, ``pages`` ``(url, html)``. With ``staged`` links, seen links and
+    products are written once to the work folder, for when several outputs are used or the
+    links are read off HTML.
     """
     chosen = select_sources(sources, categories)
     address = source_url(F.col("source_type"), F.col("url"), F.col("query"), base + prefix)
     chosen = chosen.withColumn("source_url", address).drop("url", "query")
     links = links.join(chosen.select("source_label"), "source_label", "left_semi")
+    if staged:
+        links = stage(links, "links")
     seen = seen_links(links, max_pages)
     if staged:
         seen = stage(seen, "seen")

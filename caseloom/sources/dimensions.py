@@ -6,8 +6,10 @@ knows their exact size and decides about broadcasting them by its own threshold.
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from caseloom.functions.text import slug
 from caseloom.schemas import HINTS, SOURCES
@@ -44,6 +46,16 @@ CATEGORY_HINTS = {
 }
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
+    """Rows of text and integer columns as a local relation (by way of Arrow; a list would become an RDD scan)."""
+    kinds = {"string": pa.string(), "int": pa.int32()}
+    columns = {
+        field.name: pa.array([row[i] for row in rows], kinds[field.dataType.simpleString()])
+        for i, field in enumerate(schema.fields)
+    }
+    return spark.createDataFrame(pa.table(columns))
+
+
 def catalog_sources(
     spark: SparkSession, root: str, rows: Iterable[tuple[str, str, str, str]] = SOURCE_ROWS
 ) -> DataFrame:
@@ -53,7 +65,7 @@ def catalog_sources(
          target if kind == "search" else None)
         for pos, (category, kind, label, target) in enumerate(rows)
     ]
-    return with_slug(spark.createDataFrame(data, SOURCES))
+    return with_slug(local_table(spark, data, SOURCES))
 
 
 def with_slug(sources: DataFrame) -> DataFrame:
@@ -68,4 +80,4 @@ def select_sources(sources: DataFrame, categories: list[str] | None = None) -> D
 def category_hints(spark: SparkSession, hints: dict[str, list[str]] | None = None) -> DataFrame:
     """The hint dimension as (app_category_slug, hint) rows."""
     hints = CATEGORY_HINTS if hints is None else hints
-    return spark.createDataFrame([(name, hint) for name, words in hints.items() for hint in words], HINTS)
+    return local_table(spark, [(name, hint) for name, words in hints.items() for hint in words], HINTS)
