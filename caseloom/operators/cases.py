@@ -115,7 +115,7 @@ def lookup_cases(good: DataFrame, bad: DataFrame, keys: DataFrame) -> DataFrame:
     """Whole rows of the asked case numbers; a number in both tables is taken from the good one."""
     keys = keys.select("case_number")
     in_good = good.join(keys, "case_number", "left_semi")
-    in_bad = bad.join(keys, "case_number", "left_semi").join(good.select("case_number"), "case_number", "left_anti")
+    in_bad = bad.join(keys, "case_number", "left_semi").join(in_good.select("case_number"), "case_number", "left_anti")
     return case_detail(in_good, "historical_case_good").unionByName(case_detail(in_bad, "historical_case_bad"))
 
 
@@ -238,10 +238,14 @@ REVIEW_COMPLETED = [
 
 
 def _known(good: DataFrame, bad: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Changes for the good table, for the bad table (good wins), and for no case at all."""
-    in_good = good.select("case_number")
+    """Changes for the good table, for the bad table (good wins), and for no case at all.
+
+    The tables are first cut to the changed numbers, so with few changes neither is shuffled.
+    """
+    keys = changes.select("case_number")
+    in_good = good.select("case_number").join(keys, "case_number", "left_semi")
+    in_bad = bad.select("case_number").join(keys, "case_number", "left_semi")
     elsewhere = changes.join(in_good, "case_number", "left_anti")
-    in_bad = bad.select("case_number")
     return (
         changes.join(in_good, "case_number", "left_semi"),
         elsewhere.join(in_bad, "case_number", "left_semi"),

@@ -83,12 +83,12 @@ def filter_by_hints(products: DataFrame, hints: DataFrame) -> DataFrame:
     )
 
 
-def catalog_columns(catalog: DataFrame) -> DataFrame:
+def catalog_columns(catalog: DataFrame, *more: str) -> DataFrame:
     """The twelve columns a matching candidate carries; spec text of older snapshots is parsed."""
     specs = F.col("specs") if "specs" in catalog.columns else parse_specs(F.col("specs_json")).alias("specs")
     return catalog.select(
         "product_name", "sku", "brand", "product_url", "price_text", "currency", "availability", "short_description",
-        specs, "searchable_text", "source_label", "last_synced_at",
+        specs, "searchable_text", "source_label", "last_synced_at", *more,
     )
 
 

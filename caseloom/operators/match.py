@@ -25,11 +25,16 @@ SALTS = 32
 
 
 def candidate_pool(
-    candidates: DataFrame, scope: str, key: str, recency: str, words: Column, n: int = CANDIDATES
+    candidates: DataFrame, scope: str, key: str, recency: str, words: Column, n: int = CANDIDATES,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """``(scope, place, key, words)``: the newest ``n`` candidates of each scope, newest in place 1."""
+    """``(scope, place, key, words)``: the newest ``n`` candidates of each scope, newest in place 1.
+
+    Written once to the work folder, as matching reads it several times; ``keep`` adds columns.
+    """
     best = newest_per_group(candidates, scope, recency, [key], n, "place")
-    return best.select(F.col(scope).alias("scope"), "place", F.col(key).alias("key"), words.alias("words"))
+    columns = [F.col(scope).alias("scope"), "place", F.col(key).alias("key"), words.alias("words"), *(keep or [])]
+    return stage(best.select(*columns), "pool")
 
 
 def _hits(targets: DataFrame, pool: DataFrame) -> DataFrame:
@@ -52,9 +57,7 @@ def token_overlap(targets: DataFrame, pool: DataFrame, k: int = CANDIDATES) -> D
     ``targets`` are ``(target_id, scope, words)``. Equal scores go to the newer candidate,
     that is the lower place. A target's list is no longer than its pool.
     """
-    pool = stage(pool, "pool")
-    spark = targets.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = (
         _hits(targets.repartition(parts, "target_id"), pool)
         .groupBy("target_id", "scope", "place")
@@ -84,17 +87,21 @@ def recommend_products(
     requests: DataFrame, catalog: DataFrame, id_column: str, k: int = BEST, cap: int = CANDIDATES
 ) -> DataFrame:
     """The best active products of each request's category, with the candidate columns and the score."""
-    active = catalog.filter("is_active")
+    shown = catalog_columns(catalog).columns
+    shortlist = catalog_columns(catalog.filter("is_active"), "app_category_slug")
     pool = candidate_pool(
-        active.select("app_category_slug", "product_url", "last_synced_at", "searchable_text"),
-        "app_category_slug", "product_url", "last_synced_at", tokens(F.col("searchable_text")), cap,
+        shortlist, "app_category_slug", "product_url", "last_synced_at", tokens(F.col("searchable_text")), cap,
+        [name for name in shown if name != "product_url"],
     )
     targets = requests.filter(F.coalesce(F.col("category"), F.lit("")) != "").select(
         F.col(id_column).alias("target_id"), slug(F.col("category")).alias("scope"),
         tokens(recommendation_text()).alias("words"),
     )
-    best = token_overlap(targets, pool, k).withColumnRenamed("key", "product_url")
-    return best.join(catalog_columns(catalog), "product_url").withColumnRenamed("target_id", id_column)
+    best = token_overlap(targets, pool, k)
+    products = pool.withColumnRenamed("key", "product_url").select(*shown)
+    return best.withColumnRenamed("key", "product_url").join(products, "product_url").withColumnRenamed(
+        "target_id", id_column
+    )
 
 
 def similar_cases(

@@ -110,7 +110,7 @@ select f.app_category as source_label, 1 + cast(floor(f.p_size / 10.0) as int) a
   cast(f.p_partkey as int) as link_pos, f.product_url, cast(floor(f.p_size / 10.0) as int) < 4 as has_next
 from fx_products f
 union all
-select 'Sale', 1 + cast(floor(f.p_size / 10.0) as int), cast(f.p_partkey as int), f.product_url,
+select case when f.product_url <> '' then 'Sale' end, 1 + cast(floor(f.p_size / 10.0) as int), cast(f.p_partkey as int), f.product_url,
   cast(floor(f.p_size / 10.0) as int) < 1
 from fx_products f""",
     "fx_sources": """
