@@ -187,7 +187,7 @@ def save_cases(
         kept = [*schemas.REVIEW_COLUMNS, "created_at"]
         mine = last.filter(F.col("rating") == value)
         old = table.select("case_number", F.lit(True).alias("_found"), *[F.col(c).alias(f"_old_{c}") for c in kept])
-        old = old.join(mine.select("case_number"), "case_number", "left_semi")
+        old = old.join(last.select("case_number"), "case_number", "left_semi")
         again = F.col("_found") & ~F.col("_moved")
         fresh = {name: "" for name in kept} | {
             "learning_eligible": False, "reviewed_at": F.lit(None).cast("timestamp_ntz"), "created_at": moment,

@@ -4,6 +4,7 @@ Plain Parquet has no MERGE, UPDATE or DELETE and a path cannot be overwritten
 while it is read, so a changed table is written as a new version directory.
 """
 
+import functools
 import re
 import tempfile
 import uuid
@@ -44,6 +45,11 @@ def conform(df: DataFrame, schema: StructType, defaults: dict | None = None) ->
     return df.select(*columns)
 
 
+@functools.cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="caseloom-")
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for written intermediates and stream state.
 
@@ -55,9 +61,7 @@ def work_dir(spark: SparkSession) -> str:
         return shared.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    local = tempfile.mkdtemp(prefix="caseloom-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    return _local_dir()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
