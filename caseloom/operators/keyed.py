@@ -3,7 +3,7 @@
 A key may hold a third of all rows, so no step gathers a raw group in one task:
 the ranked filters keep their limit on the map side (Catalyst plans
 ``WindowGroupLimit``), sums combine before the shuffle, and numbering works on
-(group, time bucket) slices.
+range partitions that cut through groups.
 """
 
 from functools import reduce
@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseloom.sources.tables import stage
+
 # Slices a group is spread over before its newest rows are picked.
 SLICES = 64
 
@@ -87,28 +89,42 @@ def upsert(
 
 def number_in_order(
     df: DataFrame, group: str, moment: str, tie: list[str], number: str = "number",
-    offsets: DataFrame | None = None, bucket: str = "HOUR",
+    offsets: DataFrame | None = None,
 ) -> DataFrame:
-    """Gap-free numbers 1, 2, 3, ... per group in arrival order.
+    """Gap-free numbers 1, 2, 3, ... per group in arrival order; ``offsets(group, start)`` shifts a group.
 
-    Rows are numbered inside (group, time bucket) and the bucket's start is added: the
-    running sum only sees one row per bucket, so a group holding most rows is still
-    numbered by as many tasks as it has buckets. ``offsets(group, start)`` shifts a group.
+    The rows are put in order over range partitions of even size and written with their
+    place. The cuts may fall anywhere, also inside a group or among equal moments, so
+    neither a group nor a burst of arrivals lands in one task. A number is then the distance
+    to the group's first place, for which one row per partition and one per group suffice.
     """
-    first = F.to_timestamp_ntz(F.lit("0001-01-01 00:00:00"))
-    cut = F.date_trunc(bucket, F.coalesce(F.col(moment), first)).cast("timestamp_ntz")
-    rows = df.withColumn("_bucket", cut)
-    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    starts = starts.select(group, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    order = [group, moment, *tie]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stage(
+        df.repartitionByRange(parts, *order)
+        .sortWithinPartitions(*order)
+        .withColumn("_at", F.monotonically_increasing_id()),
+        "ordered",
+    )
+    # An id holds the partition in its upper bits and the row within it in the lower 33.
+    part, row = F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit(2**33 - 1))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_size"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    # No more rows than shuffle partitions, so the hint is safe.
+    starts = F.broadcast(starts)
+
+    def positioned(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_part", part).join(starts, "_part").withColumn("_position", F.col("_start") + row)
+
+    firsts = positioned(placed.groupBy(group).agg(F.min("_at").alias("_at")))
+    firsts = firsts.select(group, (F.col("_position") - 1).alias("_before"))
     if offsets is not None:
-        starts = starts.join(offsets, group, "left").withColumn(
-            "_start", F.col("_start") + F.coalesce(F.col("start"), F.lit(0))
-        ).drop("start")
-    inside = Window.partitionBy(group, "_bucket").orderBy(moment, *tie)
+        start = F.coalesce(F.col("start"), F.lit(0))
+        firsts = firsts.join(offsets, group, "left").select(group, (F.col("_before") - start).alias("_before"))
     return (
-        rows.withColumn("_inside", F.row_number().over(inside))
-        .join(starts, [group, "_bucket"])
-        .withColumn(number, (F.col("_start") + F.col("_inside")).cast("bigint"))
-        .drop("_bucket", "_inside", "_start")
+        positioned(placed)
+        .join(firsts, group)
+        .withColumn(number, (F.col("_position") - F.col("_before")).cast("bigint"))
+        .drop("_at", "_part", "_start", "_position", "_before")
     )

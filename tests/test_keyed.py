@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from caseloom.operators import keyed as K
+from caseloom.sources.tables import stage
 from tests.helpers import at, dicts
 
 
@@ -44,6 +45,18 @@ def test_number_in_order(spark):
     assert {(r["id"], r["n"]) for r in got.collect()} == expected
 
 
+def test_numbers_of_a_burst(spark, monkeypatch):
+    """All rows of the hot group arrive at one moment; many tasks share them."""
+    written = []
+    monkeypatch.setattr(K, "stage", lambda *args: written.append(stage(*args)) or written[-1])
+    rows = [("hot", at(5), i) for i in range(4000)] + [("cold", at(i), i) for i in range(50)]
+    df = spark.createDataFrame(rows, "g string, ts timestamp_ntz, id int").repartition(5)
+    got = K.number_in_order(df, "g", "ts", ["id"], "n")
+    assert {(r["g"], r["id"], r["n"]) for r in got.collect()} == {(g, i, i + 1) for g, _, i in rows}
+    tasks = [r["count"] for r in written[0].filter("g = 'hot'").groupBy(F.shiftright("_at", 33)).count().collect()]
+    assert len(tasks) >= 4 and max(tasks) < 2000
+
+
 def test_keep_last(spark):
     rows, df = _skewed(spark)
     expected = {g: max((r[1], r[2]) for r in rows if r[0] == g) for g in {r[0] for r in rows}}
