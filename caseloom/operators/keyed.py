@@ -99,9 +99,8 @@ def number_in_order(
     to the group's first place, for which one row per partition and one per group suffice.
     """
     order = [group, moment, *tie]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = stage(
-        df.repartitionByRange(parts, *order)
+        df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_at", F.monotonically_increasing_id()),
         "ordered",

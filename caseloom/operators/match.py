@@ -57,9 +57,8 @@ def token_overlap(targets: DataFrame, pool: DataFrame, k: int = CANDIDATES) -> D
     ``targets`` are ``(target_id, scope, words)``. Equal scores go to the newer candidate,
     that is the lower place. A target's list is no longer than its pool.
     """
-    parts = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = (
-        _hits(targets.repartition(parts, "target_id"), pool)
+        _hits(targets.repartition("target_id"), pool)
         .groupBy("target_id", "scope", "place")
         .agg(F.count(F.lit(1)).alias("score"))
     )

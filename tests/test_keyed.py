@@ -49,9 +49,12 @@ def test_numbers_of_a_burst(spark, monkeypatch):
     """All rows of the hot group arrive at one moment; many tasks share them."""
     written = []
     monkeypatch.setattr(K, "stage", lambda *args: written.append(stage(*args)) or written[-1])
+    # Rows this few would be merged into one partition.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     rows = [("hot", at(5), i) for i in range(4000)] + [("cold", at(i), i) for i in range(50)]
     df = spark.createDataFrame(rows, "g string, ts timestamp_ntz, id int").repartition(5)
     got = K.number_in_order(df, "g", "ts", ["id"], "n")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert {(r["g"], r["id"], r["n"]) for r in got.collect()} == {(g, i, i + 1) for g, _, i in rows}
     tasks = [r["count"] for r in written[0].filter("g = 'hot'").groupBy(F.shiftright("_at", 33)).count().collect()]
     assert len(tasks) >= 4 and max(tasks) < 2000
