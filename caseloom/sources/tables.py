@@ -37,11 +37,11 @@ def conform(df: DataFrame, schema: StructType, defaults: dict | None = None) ->
     present = set(df.columns)
     columns = []
     for field in schema.fields:
-        column = F.col(field.name) if field.name in present else F.lit(None)
-        column = column.cast(field.dataType)
-        if field.name in defaults:
-            column = F.coalesce(column, F.lit(defaults[field.name]))
-        columns.append(column.alias(field.name))
+        name, kind = field.name, field.dataType.simpleString()
+        column = F.expr(f"cast({f'`{name}`' if name in present else 'null'} as {kind}) as `{name}`")
+        if name in defaults:
+            column = F.coalesce(column, F.lit(defaults[name])).alias(name)
+        columns.append(column)
     return df.select(*columns)
 
 

@@ -160,7 +160,8 @@ select item_id, case item_id % 4 when 0 then 'en' when 1 then 'de'
   when 2 then 'fr' else 'es' end as category, text
 from benchmark""",
     "fx_match_candidates": """
-select d.doc_id, d.lang as category, d.text as searchable_text, e.ts as last_synced_at
+select d.doc_id, d.lang as category, d.text as searchable_text, d.source <> 'src7' as is_active,
+  e.ts as last_synced_at
 from documents d join events e on e.event_id = d.doc_id""",
     "fx_link_pages": """
 select page_id, case page_id % 3 when 0 then '<a class="x product-item-link y" title="t" href="/store/p'

@@ -48,8 +48,7 @@ def token_overlap(spark, sf_dir):
 @query("recommend_products", fx.oracle(f"""
 with products as (select 'https://shop.example.com/store/d' || cast(doc_id as string) || '.html' as url, * from fx_match_candidates),
 pool as (select url as key, category as scope, last_synced_at as recency, searchable_text as text from (
-  select *, row_number() over (partition by category order by last_synced_at desc, url) as rn from products
-    where doc_id % 4 <> 1)
+  select *, row_number() over (partition by category order by last_synced_at desc, url) as rn from products where is_active)
   where rn <= 250),
 targets as (select item_id as target_id, category as scope, category || ' ' || text as text from fx_match_targets),
 {_scored('targets', 'pool')}
@@ -59,8 +58,7 @@ def recommend_products(spark, sf_dir):
     docs = fx.fixture(spark, sf_dir, "fx_match_candidates")
     url = F.concat(F.lit(fx.ROOT + "/d"), F.col("doc_id").cast("string"), F.lit(".html"))
     catalog = conform(
-        docs.withColumn("product_url", url).withColumn("app_category_slug", F.col("category"))
-        .withColumn("is_active", F.col("doc_id") % 4 != 1),
+        docs.withColumn("product_url", url).withColumn("app_category_slug", F.col("category")),
         schemas.PRODUCTS, schemas.PRODUCT_DEFAULTS,
     )
     names = [f.name for f in schemas.REQUESTS["formData"].dataType.fields]
