@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from caseloom.functions.text import WS, decode_entities, js_trim, let, or_default, squash, strip_html, text
-from caseloom.functions.urls import normalise_product_url, normalise_product_urls
+from caseloom.functions.urls import normalise_product_urls
 
 # ASCII word boundaries; Java's \b also counts accented letters as word characters.
 _START, _END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
@@ -26,7 +26,7 @@ SPEC_ROW = r"(?i)<tr[^>]*>([\s\S]*?)</tr>"
 SPEC_CELL = r"(?i)<t[dh][^>]*>([\s\S]*?)</t[dh]>"
 # Starts behind the list's own tag, so that tag's text is no crumb.
 BREADCRUMBS = r'(?i)class="breadcrumbs?[^>]*>([\s\S]*?)</ul>'
-CANONICAL = f'(?i)<link[^>]+rel="canonical"[^>]+href="([^"]+)"'
+CANONICAL = '(?i)<link[^>]+rel="canonical"[^>]+href="([^"]+)"'
 OG_URL = '(?i)property="og:url" content="([^"]+)"'
 
 
