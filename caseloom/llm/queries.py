@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from caseloom.llm import chunk_table
+from caseloom.llm import byte_cnn, chunk_table
 from caseloom.llm.common import table
 from caseloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -12,3 +12,9 @@ PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 @query("op5_chunk_table")
 def op5_chunk_table(spark, sf_dir, model_file=PIECE_MODEL):
     return chunk_table.round_trip_digests(table(spark, sf_dir, "documents"), model_file)
+
+
+@query("op6_byte_cnn")
+def op6_byte_cnn(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return byte_cnn.classify(docs, byte_cnn.fit(docs, table(spark, sf_dir, "labels")))
