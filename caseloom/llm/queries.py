@@ -2,12 +2,42 @@
 
 import public_tokenizers
 
-from caseloom.llm import byte_cnn, chunk_table
+from caseloom.llm import bloom_cascade, byte_cnn, chunk_table
 from caseloom.llm.common import table
 from caseloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
+#: Fixed rules of the URL query: action, host, path.
+URL_RULES = [
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+]
+
+_RULES_SQL = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)
+OP2_SQL = f"""
+with rules(action, rule_host, rule_path) as (values {_RULES_SQL}),
+cut as (
+  select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+parts as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from cut)
+select page_id, host, path,
+  (select max_by(rule_host || rule_path, length(rule_host || rule_path)) from rules
+   where (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)) as rule,
+  coalesce((select max_by(action, length(rule_host || rule_path)) from rules
+   where (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)), 'allow') as verdict
+from parts
+"""
+
+
+@query("op2_bloom_cascade", OP2_SQL)
+def op2_bloom_cascade(spark, sf_dir):
+    rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
+    return bloom_cascade.judge(table(spark, sf_dir, "pages"), rules)
+
 
 @query("op5_chunk_table")
 def op5_chunk_table(spark, sf_dir, model_file=PIECE_MODEL):
