@@ -83,9 +83,9 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("g1").to_numpy(), batch.column("g2").to_numpy()
 
 
-def _filter_of(keys: DataFrame, n: int, level: int) -> np.ndarray:
-    """The words of a level's filter over ``n`` keys."""
-    size = max(1, -(-n * BITS_PER_KEY // 64))
+def filter_words(keys: DataFrame, n: int, level: int = 0, most_bytes: int = MOST_BYTES) -> np.ndarray:
+    """The words of a Bloom filter over ``n`` keys (``g1``, ``g2``), never more than ``most_bytes``."""
+    size = max(1, min(-(-n * BITS_PER_KEY // 64), most_bytes // 8))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +95,7 @@ def _filter_of(keys: DataFrame, n: int, level: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(word.view("i8")), pa.array(bits.view("i8"))], ["word", "bits"])
 
     rows = keys.mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(size, np.uint64)  # At most MOST_BYTES over all levels of a part.
+    words = np.zeros(size, np.uint64)
     words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return words
 
@@ -118,7 +118,7 @@ def build(universe: DataFrame) -> list[np.ndarray]:
     while n:
         if len(levels) == 64 or 8 * sum(map(len, levels)) + n * BITS_PER_KEY // 8 > MOST_BYTES:
             raise ValueError("a part of the list outgrew the bound of a cascade")
-        words = _filter_of(inside, n, len(levels))
+        words = filter_words(inside, n, len(levels))
         wrong = stage(_let_through(outside, words, len(levels)), "cascade-level")
         levels.append(words)
         inside, outside, n = wrong, inside, wrong.count()

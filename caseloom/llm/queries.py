@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from caseloom.llm import bloom_cascade, byte_cnn, chunk_table
+from caseloom.llm import bloom_cascade, byte_cnn, chunk_table, ngram_join
 from caseloom.llm.common import table
 from caseloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -48,3 +48,8 @@ def op5_chunk_table(spark, sf_dir, model_file=PIECE_MODEL):
 def op6_byte_cnn(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return byte_cnn.classify(docs, byte_cnn.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op10_ngram_join")
+def op10_ngram_join(spark, sf_dir):
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
