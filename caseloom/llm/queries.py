@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from caseloom.llm import bloom_cascade, byte_cnn, chunk_table, ngram_join
+from caseloom.llm import bloom_cascade, byte_cnn, chunk_table, ngram_join, pii_bootstrap
 from caseloom.llm.common import table
 from caseloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -39,6 +39,11 @@ def op2_bloom_cascade(spark, sf_dir):
     return bloom_cascade.judge(table(spark, sf_dir, "pages"), rules)
 
 
+@query("op3_pii_bootstrap")
+def op3_pii_bootstrap(spark, sf_dir):
+    return pii_bootstrap.digests(pii_bootstrap.find(table(spark, sf_dir, "documents")))
+
+
 @query("op5_chunk_table")
 def op5_chunk_table(spark, sf_dir, model_file=PIECE_MODEL):
     return chunk_table.round_trip_digests(table(spark, sf_dir, "documents"), model_file)
