@@ -2,7 +2,9 @@
 
 import public_tokenizers
 
-from caseloom.llm import bloom_cascade, byte_cnn, chunk_table, ngram_join, pii_bootstrap
+import corpus_pipeline
+
+from caseloom.llm import bloom_cascade, byte_cnn, chunk_table, ngram_join, pii_bootstrap, temperature_mixing
 from caseloom.llm.common import table
 from caseloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -55,6 +57,14 @@ def op6_byte_cnn(spark, sf_dir):
     return byte_cnn.classify(docs, byte_cnn.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op8_temperature_mixing")
+def op8_temperature_mixing(spark, sf_dir):
+    return temperature_mixing.mixture(table(spark, sf_dir, "documents"), repetition_limit=2.0)
+
+
 @query("op10_ngram_join")
 def op10_ngram_join(spark, sf_dir):
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
