@@ -4,7 +4,7 @@ import public_tokenizers
 
 import corpus_pipeline
 
-from caseloom.llm import bloom_cascade, byte_cnn, chunk_table, ngram_join, pii_bootstrap, temperature_mixing
+from caseloom.llm import bloom_cascade, byte_cnn, chunk_table, edit_embedding, ngram_join, pii_bootstrap, temperature_mixing
 from caseloom.llm.common import table
 from caseloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -62,6 +62,11 @@ def op8_temperature_mixing(spark, sf_dir):
     return temperature_mixing.mixture(table(spark, sf_dir, "documents"), repetition_limit=2.0)
 
 
+@query("op9_edit_embedding")
+def op9_edit_embedding(spark, sf_dir):
+    return edit_embedding.with_edited(table(spark, sf_dir, "documents"))
+
+
 @query("op10_ngram_join")
 def op10_ngram_join(spark, sf_dir):
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
