@@ -53,7 +53,7 @@ def with_keys(pages: DataFrame, prefix_lengths: list[int]) -> DataFrame:
 
 
 def _hashes(key: Column) -> list[Column]:
-    return [F.xxhash64(key, F.lit(1)).alias("g1"), F.xxhash64(key, F.lit(2)).alias("g2")]
+    return [F.xxhash64(F.lit(1), key).alias("g1"), F.xxhash64(F.lit(2), key).alias("g2")]  # The seed comes first, or both would hang on one hash.
 
 
 def positions(g1: np.ndarray, g2: np.ndarray, level: int, bits: int) -> np.ndarray:

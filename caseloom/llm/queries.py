@@ -1,10 +1,11 @@
 """The queries of this folder; importing the module registers them."""
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from caseloom.llm import bloom_cascade, byte_cnn, chunk_table, edit_embedding, ngram_join, pii_bootstrap, temperature_mixing
+from caseloom.llm import bloom_cascade, byte_cnn, chunk_table, edit_embedding, ngram_join, permutation_index, pii_bootstrap, temperature_mixing
 from caseloom.llm.common import table
 from caseloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -35,6 +36,11 @@ from parts
 """
 
 
+@query("op1_permutation_index")
+def op1_permutation_index(spark, sf_dir):
+    return permutation_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 @query("op2_bloom_cascade", OP2_SQL)
 def op2_bloom_cascade(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
