@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from caseloom.sources.tables import stage
 
-PIVOTS, DEPTH = 128, 64
+PIVOTS, DEPTH = 256, 64
 SHARD, BLOCK = 4096, 1024
 LEAST = 512  # Vectors of a shard reranked at least.
 
@@ -88,7 +88,7 @@ class Shard:
         return found[best], cosine[best]
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 5, share: float = 0.2) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 5, share: float = 0.35) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` (cosine) of the ``k`` nearest found for each row that ``queries`` holds for."""
     kept, members = entries(vectors, k + 1)
     pivots = np.array([r.v for r in kept.orderBy(F.xxhash64("e1", F.lit(9)), "e2").limit(PIVOTS).select("v").collect()])
