@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from caseloom.llm import bloom_cascade, byte_cnn, chunk_table, edit_embedding, ngram_join, permutation_index, pii_bootstrap, temperature_mixing
+from caseloom.llm import bloom_cascade, byte_cnn, chunk_table, count_viterbi, edit_embedding, ngram_join, permutation_index, pii_bootstrap, temperature_mixing
 from caseloom.llm.common import table
 from caseloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -63,6 +63,11 @@ def op6_byte_cnn(spark, sf_dir):
     return byte_cnn.classify(docs, byte_cnn.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op7_count_viterbi")
+def op7_count_viterbi(spark, sf_dir, model_file=PIECE_MODEL):
+    return count_viterbi.count_tokens(table(spark, sf_dir, "documents"), model_file)
+
+
 @query("op8_temperature_mixing")
 def op8_temperature_mixing(spark, sf_dir):
     return temperature_mixing.mixture(table(spark, sf_dir, "documents"), repetition_limit=2.0)
