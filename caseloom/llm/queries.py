@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from caseloom.llm import bloom_cascade, byte_cnn, chunk_table, count_viterbi, edit_embedding, ngram_join, permutation_index, pii_bootstrap, temperature_mixing
+from caseloom.llm import bloom_cascade, byte_cnn, chunk_table, count_viterbi, edit_embedding, ngram_join, permutation_index, pii_bootstrap, range_coder, temperature_mixing
 from caseloom.llm.common import table
 from caseloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 #: Fixed rules of the URL query: action, host, path.
 URL_RULES = [
@@ -52,6 +53,12 @@ def op3_pii_bootstrap(spark, sf_dir):
     return pii_bootstrap.digests(pii_bootstrap.find(table(spark, sf_dir, "documents")))
 
 
+@query("op4_range_coder")
+def op4_range_coder(spark, sf_dir, tokenizer_file=WORD_TOKENIZER):
+    written = range_coder.write_ids(table(spark, sf_dir, "documents"), tokenizer_file, end_id=2)
+    return range_coder.read_ids(written)
+
+
 @query("op5_chunk_table")
 def op5_chunk_table(spark, sf_dir, model_file=PIECE_MODEL):
     return chunk_table.round_trip_digests(table(spark, sf_dir, "documents"), model_file)
