@@ -21,13 +21,11 @@ TRANSIENT_PHRASES = [
 
 
 def read_json(c: Column, schema: str | StructType, fallback: Column) -> Column:
-    """Typed JSON read; NULL, blank or malformed text gives the fallback.
-
-    The permissive reader turns a malformed object into a struct of NULLs, so the text
-    is checked as JSON first.
-    """
-    valid = F.try_parse_json(F.nullif(c, F.lit(""))).isNotNull()
-    return F.coalesce(F.when(valid, F.from_json(c, schema)), fallback)
+    """Typed JSON read; NULL, blank or malformed text, or another type, gives the fallback. The text is parsed once."""
+    kind = schema.simpleString() if isinstance(schema, StructType) else schema
+    if ":" not in kind and "<" not in kind and " " in kind:
+        kind = "struct<" + ", ".join(": ".join(part.split()) for part in kind.split(",")) + ">"
+    return F.coalesce(F.try_variant_get(F.try_parse_json(F.nullif(c, F.lit(""))), "$", kind), fallback)
 
 
 def read_variant(c: Column, fallback: str = "{}") -> Column:

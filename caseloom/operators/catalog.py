@@ -203,12 +203,12 @@ def save_sync_runs(runs: DataFrame, run: DataFrame) -> DataFrame:
 
 DETAILS = (
     "startedAt string, categories array<struct<appCategory: string, sourceLabel: string, productsSeen: bigint, "
-    "productsUpserted: bigint>>, totalProductsSeen bigint, totalProductsUpserted bigint"
+    "productsUpserted: bigint>>, totalProductsSeen bigint, totalProductsUpserted bigint, error string"
 )
 
 
 def sync_report(runs: DataFrame, trigger: str = "manual") -> DataFrame:
-    """A text per run: totals and a line per source."""
+    """A text per run: totals and a line per source, or the error of a failed run."""
     d = F.from_json("details_json", DETAILS)
     source_lines = F.transform(
         d["categories"],
@@ -229,6 +229,14 @@ def sync_report(runs: DataFrame, trigger: str = "manual") -> DataFrame:
         F.concat(F.lit("Total products upserted: "), F.coalesce(d["totalProductsUpserted"], F.lit(0)).cast("string")),
         F.lit(""),
         F.lit("Categories:"),
-        F.coalesce(F.concat_ws("\n", source_lines), F.lit("No category details.")),
+        F.when(d["categories"].isNull(), "No category details.").otherwise(F.concat_ws("\n", source_lines)),
     )
-    return runs.select("run_id", report.alias("report"))
+    failed = F.concat_ws(
+        "\n",
+        F.lit("Catalog sync failed."),
+        F.lit(""),
+        F.lit(f"Trigger: {trigger}"),
+        F.concat(F.lit("Time: "), or_default(finished, "N/A")),
+        F.concat(F.lit("Error: "), or_default(d["error"], "Unknown error")),
+    )
+    return runs.select("run_id", F.when(F.col("status") == "failed", failed).otherwise(report).alias("report"))

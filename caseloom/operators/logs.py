@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from caseloom import schemas
 from caseloom.functions.records import USAGE_SCHEMA, is_transient, read_variant, usage_columns
@@ -19,9 +20,10 @@ def _number(name: str) -> Column:
     return F.coalesce(F.col(name).try_cast("int"), F.lit(0))
 
 
-def normalise_runs(df: DataFrame, prompt_version: str = PROMPT_VERSION) -> DataFrame:
-    """Run rows as stored: defaults for blanks, category key, numbers cast, error text cleaned."""
-    df = conform(df, schemas.RUN_LOGS)
+def normalise_runs(df: DataFrame, prompt_version: str = PROMPT_VERSION, keep: list[str] | None = None) -> DataFrame:
+    """Run rows as stored: defaults for blanks, category key, numbers cast, error text cleaned; ``keep`` adds columns as they are."""
+    kept = [df.schema[name] for name in keep or []]
+    df = conform(df, StructType([*schemas.RUN_LOGS.fields, *kept]))
     return df.select(
         "request_id",
         text(F.col("case_number")).alias("case_number"),
@@ -38,6 +40,7 @@ def normalise_runs(df: DataFrame, prompt_version: str = PROMPT_VERSION) -> DataF
         or_default(F.col("source"), "web").alias("source"),
         F.nullif(F.col("recommendation_json"), F.lit("")).alias("recommendation_json"),
         "created_at",
+        *(keep or []),
     )
 
 

@@ -1,78 +1,106 @@
 """Ranking products or earlier cases against a text by shared words.
 
-Only the newest 250 rows of a category are candidates. That is the rule of the
-job, and it bounds what a target can meet. The candidates' words form an inverted
-list; each target looks its own distinct words up there and counts the hits. The
-targets, the side that grows, are shuffled once, by target; counting and cutting to
-the best then need no further shuffle.
+A target meets every candidate of its scope; only the wanted number of results cuts. Both
+sides are dealt into blocks of bounded size by key, so a scope or a word that a third of
+all rows share is spread, and a task holds one block of targets and one of candidates. It
+counts shared words in an inverted list of the candidate block and returns the best few
+of each target, never the pairs; the best over all blocks are then taken by target.
+
+Products keep the job's own rule: only the newest 250 of a category are candidates.
 """
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from caseloom.functions.records import product_line
-from caseloom.functions.text import case_search_text, recommendation_text, slug, tokens
+from caseloom.functions.text import case_search_text, product_search_text, recommendation_text, slug, tokens
 from caseloom.operators.catalog import catalog_columns
 from caseloom.operators.keyed import newest_per_group
-from caseloom.sources.tables import stage
 
-# Candidates per category, and results per target.
+# Product candidates per category, and results per target.
 CANDIDATES, BEST = 250, 5
-# Broadcast the inverted list up to this many entries (some 200 MB); they are counted first.
-BROADCAST_ENTRIES = 3_000_000
-# Beyond that, copies of the list, so a word every target has spreads over that many tasks.
-SALTS = 32
+# Rows of a block on either side.
+BLOCK = 2048
 
 
 def candidate_pool(
-    candidates: DataFrame, scope: str, key: str, recency: str, words: Column, n: int = CANDIDATES,
+    candidates: DataFrame, scope: str, key: str, recency: str, words: Column, n: int | None = None,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """``(scope, place, key, words)``: the newest ``n`` candidates of each scope, newest in place 1.
+    """``(scope, key, recency, words)`` of all candidates, or of the newest ``n`` of each scope; ``keep`` adds columns.
 
-    Written once to the work folder, as matching reads it several times; ``keep`` adds columns.
+    ``recency`` is in microseconds, so that later ones are larger.
     """
-    best = newest_per_group(candidates, scope, recency, [key], n, "place")
-    columns = [F.col(scope).alias("scope"), "place", F.col(key).alias("key"), words.alias("words"), *(keep or [])]
-    return stage(best.select(*columns), "pool")
-
-
-def _hits(targets: DataFrame, pool: DataFrame) -> DataFrame:
-    """A row ``(target_id, scope, place)`` per word a target shares with a candidate of its scope."""
-    inverted = pool.select("scope", "place", F.explode("words").alias("word"))
-    asked = targets.select("target_id", "scope", F.explode("words").alias("word"))
-    entries = pool.agg(F.sum(F.size("words"))).first()[0] or 0
-    if entries <= BROADCAST_ENTRIES:
-        met = asked.join(F.broadcast(inverted), ["scope", "word"])
-    else:
-        salted = asked.withColumn("_salt", F.pmod(F.xxhash64("target_id"), F.lit(SALTS)).cast("int"))
-        copies = inverted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = salted.join(copies, ["scope", "word", "_salt"])
-    return met.select("target_id", "scope", "place")
-
-
-def token_overlap(targets: DataFrame, pool: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    if n is not None:
+        candidates = newest_per_group(candidates, scope, recency, [key], n, "_place")
+    return candidates.select(
+        F.col(scope).alias("scope"), F.col(key).alias("key"),
+        F.coalesce(F.unix_micros(F.col(recency).cast("timestamp")), F.lit(-(2**63))).alias("recency"),
+        words.alias("words"), *(keep or []),
+    )
+
+
+def best_shared(targets: pd.DataFrame, pool: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The ``k`` candidates of one block that share most words with each target of another."""
+    columns = ["target_id", "key", "recency", "score"]
+    if not len(targets) or not len(pool):
+        return pd.DataFrame(columns=columns)
+    pool = pool.sort_values(["recency", "key"], ascending=[False, True], ignore_index=True)
+    sizes = [0 if w is None else len(w) for w in pool["words"]]
+    flat = np.concatenate([w for w, n in zip(pool["words"], sizes) if n] or [np.empty(0, object)])
+    codes, vocabulary = pd.factorize(flat)
+    order = np.argsort(codes, kind="stable")
+    holders = np.repeat(np.arange(len(pool)), sizes)[order]
+    starts = np.searchsorted(codes[order], np.arange(len(vocabulary) + 1))
+    index = pd.Index(vocabulary)
+    found = []
+    for target_id, words in zip(targets["target_id"], targets["words"]):
+        known = index.get_indexer(words) if words is not None and len(words) else np.empty(0, int)
+        lists = [holders[starts[w] : starts[w + 1]] for w in known[known >= 0]]
+        if lists:
+            score = np.bincount(np.concatenate(lists), minlength=len(pool))
+            # Places are in order of recency and key, so the smaller one wins a tie.
+            value = score * len(pool) - np.arange(len(pool))
+            top = np.argpartition(-value, min(k, len(pool)) - 1)[:k]
+            top = top[score[top] > 0]
+            found += [(target_id, i, score[i]) for i in top.tolist()]
+    if not found:
+        return pd.DataFrame(columns=columns)
+    ids, places, scores = zip(*found)
+    kept = pool.iloc[list(places)]
+    return pd.DataFrame({"target_id": ids, "key": kept["key"].to_numpy(), "recency": kept["recency"].to_numpy(), "score": scores})
+
+
+def token_overlap(targets: DataFrame, pool: DataFrame, k: int = BEST) -> DataFrame:
     """``(target_id, position, key, score)``: the ``k`` candidates sharing most words with each target.
 
-    ``targets`` are ``(target_id, scope, words)``. Equal scores go to the newer candidate,
-    that is the lower place. A target's list is no longer than its pool.
+    ``targets`` are ``(target_id, scope, words)``, ``pool`` is a ``candidate_pool``. Equal
+    scores go to the newer candidate, then to the smaller key.
     """
-    shared = (
-        _hits(targets.repartition("target_id"), pool)
-        .groupBy("target_id", "scope", "place")
-        .agg(F.count(F.lit(1)).alias("score"))
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias(name))
+
+    counts = blocks(targets, "_targets").join(blocks(pool, "_pool"), "scope")
+
+    def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        """Each row in its own block, once for every block of the other side."""
+        own_block = F.pmod(F.xxhash64(key), F.col(own)).cast("int").alias(f"{own}_block")
+        others = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"{other}_block")
+        kept = [c for c in ("target_id", "key", "recency", "words") if c in df.columns]
+        return df.join(counts, "scope").select("scope", *kept, own_block, others)
+
+    meeting = ["scope", "_targets_block", "_pool_block"]
+    id_type, key_type = targets.schema["target_id"].dataType.simpleString(), pool.schema["key"].dataType.simpleString()
+    found = (
+        dealt(targets, "target_id", "_targets", "_pool").groupBy(*meeting)
+        .cogroup(dealt(pool, "key", "_pool", "_targets").groupBy(*meeting))
+        .applyInPandas(lambda t, p: best_shared(t, p, k), f"target_id {id_type}, key {key_type}, recency bigint, score bigint")
     )
-    ranked = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("below"), "place"))), 1, k)
-    best = (
-        shared.groupBy("target_id", "scope")
-        .agg(ranked.alias("best"))
-        .select("target_id", "scope", F.posexplode("best").alias("_at", "b"))
-        .select(
-            "target_id", "scope", F.col("b.place").alias("place"),
-            (F.col("_at") + 1).cast("bigint").alias("position"), (-F.col("b.below")).alias("score"),
-        )
-    )
-    return best.join(pool.select("scope", "place", "key"), ["scope", "place"]).select(
+    place = F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("score"), F.desc("recency"), "key"))
+    return found.withColumn("position", place.cast("bigint")).filter(F.col("position") <= k).select(
         "target_id", "position", "key", "score"
     )
 
@@ -88,8 +116,13 @@ def recommend_products(
     """The best active products of each request's category, with the candidate columns and the score."""
     shown = catalog_columns(catalog).columns
     shortlist = catalog_columns(catalog.filter("is_active"), "app_category_slug")
+    # A stored product without search text is found by what its shown columns say.
+    shown_text = product_search_text(
+        F.lit(""), *[F.col(c) for c in ("source_label", "product_name", "sku", "brand", "short_description", "specs")]
+    )
+    searched = F.coalesce(F.nullif(F.col("searchable_text"), F.lit("")), shown_text)
     pool = candidate_pool(
-        shortlist, "app_category_slug", "product_url", "last_synced_at", tokens(F.col("searchable_text")), cap,
+        shortlist, "app_category_slug", "product_url", "last_synced_at", tokens(searched), cap,
         [name for name in shown if name != "product_url"],
     )
     targets = requests.filter(F.coalesce(F.col("category"), F.lit("")) != "").select(
@@ -103,16 +136,14 @@ def recommend_products(
     )
 
 
-def similar_cases(
-    targets: DataFrame, cases: DataFrame, k: int = BEST, cap: int = CANDIDATES
-) -> DataFrame:
+def similar_cases(targets: DataFrame, cases: DataFrame, k: int = BEST) -> DataFrame:
     """The best learning-eligible cases for targets ``(target_id, scope, words)``.
 
-    ``cases`` carry ``(scope, case_number, updated_at, search_text, learning_eligible)``; like
-    every case list, the pool holds the newest rows of a scope.
+    ``cases`` carry ``(scope, case_number, updated_at, search_text, learning_eligible)``; every
+    eligible case of the target's scope, its category, is looked at.
     """
     pool = candidate_pool(
-        cases.filter("learning_eligible"), "scope", "case_number", "updated_at", tokens(F.col("search_text")), cap
+        cases.filter("learning_eligible"), "scope", "case_number", "updated_at", tokens(F.col("search_text"))
     )
     return token_overlap(targets, pool, k).withColumnRenamed("key", "case_number")
 

@@ -12,16 +12,18 @@ def admin_summary(
     good: DataFrame, bad: DataFrame, catalog: DataFrame, runs: DataFrame, events: DataFrame, evals: DataFrame,
     shown: int = 6,
 ) -> DataFrame:
-    """Totals, run health, status counts and the newest log rows as ``(section, item, value)``.
+    """Totals, run health, status counts and the newest log rows, whole, as ``(section, item, field, value)``.
 
-    One plan; the recent sections keep their keys only, the views have the whole rows.
+    One plan; ``item`` is a row's key, empty where a section is one row.
     """
-    def rows(df: DataFrame, section: str, item: Column, value: Column) -> DataFrame:
-        return df.select(F.lit(section).alias("section"), item.alias("item"), value.cast("string").alias("value"))
-
-    def unpivoted(df: DataFrame, section: str) -> DataFrame:
-        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c in df.columns]))
-        return rows(df.select(pairs.alias("p")), section, F.col("p.k"), F.col("p.v"))
+    def unpivoted(df: DataFrame, section: str, item: Column) -> DataFrame:
+        """Every column of every row as text; open documents as JSON."""
+        fields = [
+            F.struct(F.lit(name).alias("k"), (F.to_json(name) if kind == "variant" else F.col(name).cast("string")).alias("v"))
+            for name, kind in df.dtypes
+        ]
+        pairs = df.select(item.alias("item"), F.explode(F.array(*fields)).alias("p"))
+        return pairs.select(F.lit(section).alias("section"), "item", F.col("p.k").alias("field"), F.col("p.v").alias("value"))
 
     counts = logs.table_counts(
         {"good_cases": good, "bad_cases": bad, "product_catalog_items": catalog, "ai_runs": runs,
@@ -29,11 +31,11 @@ def admin_summary(
     )
     return union_all(
         [
-            unpivoted(counts, "totals"),
-            unpivoted(logs.run_health(runs, shown), "recent_health"),
-            rows(status_counts(good, bad), "status_counts", F.col("case_status"), F.col("cases")),
-            rows(logs.recent_runs(runs, shown), "recent_runs", F.col("request_id"), F.col("status")),
-            rows(logs.recent_events(events, shown), "recent_events", F.col("request_id"), F.col("event_name")),
-            rows(logs.recent_evals(evals, shown), "recent_evals", F.col("case_number"), F.col("rating")),
+            unpivoted(counts, "totals", F.lit("")),
+            unpivoted(logs.run_health(runs, shown), "recent_health", F.lit("")),
+            unpivoted(status_counts(good, bad), "status_counts", F.col("case_status")),
+            unpivoted(logs.recent_runs(runs, shown), "recent_runs", F.col("request_id")),
+            unpivoted(logs.recent_events(events, shown), "recent_events", F.col("request_id")),
+            unpivoted(logs.recent_evals(evals, shown), "recent_evals", F.col("case_number")),
         ]
     )

@@ -101,15 +101,15 @@ def lookup_cases(spark, sf_dir):
 
 @query("conform_cases", fx.oracle("""
 select case_number, case_status, expert_decision, learning_eligible, reviewed_at, user_comment, created_at from (
-  select 'case_' || cast(l.doc_id as string) as case_number, 'AI Generated' as case_status, '' as expert_decision,
+  select 'case_' || cast(d.doc_id as string) as case_number, 'AI Generated' as case_status, '' as expert_decision,
     false as learning_eligible, cast(null as timestamp) as reviewed_at,
     coalesce(case when l.toxic = 1 then null else d.text end, '') as user_comment, cast(null as timestamp) as created_at
-  from labels l join documents d on d.doc_id = l.doc_id)"""))
+  from documents d left join labels l on d.doc_id = l.doc_id)"""))
 def conform_cases(spark, sf_dir):
     labels, docs = fx.table(spark, sf_dir, "labels"), fx.table(spark, sf_dir, "documents")
-    rows = labels.join(docs, "doc_id").select(
+    rows = docs.join(labels, "doc_id", "left").select(
         F.concat(F.lit("case_"), F.col("doc_id").cast("string")).alias("case_number"),
-        F.when(F.col("toxic") != 1, F.col("text")).alias("user_comment"),
+        F.when(F.coalesce(F.col("toxic"), F.lit(0)) != 1, F.col("text")).alias("user_comment"),
         F.col("source").alias("category"),
     )
     full = conform(rows, schemas.CASES, schemas.CASE_DEFAULTS)

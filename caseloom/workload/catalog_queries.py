@@ -219,10 +219,21 @@ select 'run_2' as run_id, 'Catalog sync completed successfully.' || chr(10) || c
   || 'Categories:' || chr(10)
   || string_agg('- ' || app_category || ': seen ' || cast(products_seen as string) || ', upserted '
     || cast(products_upserted as string), chr(10) order by source_pos) as report
-from totals"""))
+from totals
+union all select 'run_3', 'Catalog sync failed.' || chr(10) || chr(10) || 'Trigger: manual' || chr(10)
+  || 'Time: 2024-06-01T00:00:00.000Z' || chr(10) || 'Error: timeout after ' || cast(count(*) as string) || ' runs' from totals
+union all select 'run_4', 'Catalog sync completed successfully.' || chr(10) || chr(10) || 'Trigger: manual' || chr(10)
+  || 'Started: N/A' || chr(10) || 'Finished: 2024-06-01T00:00:00.000Z' || chr(10) || 'Total products seen: 0' || chr(10)
+  || 'Total products upserted: 0' || chr(10) || chr(10) || 'Categories:' || chr(10) || 'No category details.'"""))
 def sync_report(spark, sf_dir):
     run = C.sync_run(sync(spark, sf_dir).summary, "run_2", "2024-05-31 23:00:00", fx.NOW)
-    return C.sync_report(run)
+    # The run as it is, as one that failed and as one without details.
+    sources = F.size(F.from_json("details_json", C.DETAILS)["categories"]).cast("string")
+    error = F.to_json(F.struct(F.concat(F.lit("timeout after "), sources, F.lit(" runs")).alias("error")))
+    forms = [("run_2", F.col("status"), F.col("details_json")), ("run_3", F.lit("failed"), error), ("run_4", F.col("status"), F.lit("{}"))]
+    each = F.array(*[F.struct(F.lit(i).alias("run_id"), s.alias("status"), d.alias("details_json")) for i, s, d in forms])
+    runs = run.select(F.explode(each).alias("r"), "finished_at").select("r.*", "finished_at")
+    return C.sync_report(runs)
 
 
 _SPEC_LINE = """

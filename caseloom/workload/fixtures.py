@@ -34,7 +34,7 @@ HINTS = {"economy": ["ring", "bolt"], "large": ["red", "blue w"], "promo": ["sma
 FIXTURES = {
     "fx_cases": """
 select d.doc_id, 'case_' || cast(d.doc_id as string) as case_number, d.source as category,
-  case when l.quality = 1 then 'good' else 'bad' end as rating,
+  case when coalesce(l.quality, d.doc_id % 2) = 1 then 'good' else 'bad' end as rating,
   case d.doc_id % 5 when 0 then 'Verified - Good' when 1 then 'Verified - Corrected'
     when 2 then 'Verified - Rejected' when 3 then 'Pending Expert Review' else '' end as case_status,
   d.text as user_comment, case when l.toxic = 1 then 'Checked' else '' end as expert_comment,
@@ -42,7 +42,7 @@ select d.doc_id, 'case_' || cast(d.doc_id as string) as case_number, d.source as
   d.doc_id % 3 = 0 as learning_eligible, e.props as case_payload,
   case d.doc_id % 4 when 0 then '["a", "b"]' when 1 then '' when 2 then '[bad' end as referenced_case_numbers,
   e.ts as created_at, case when d.doc_id % 7 <> 0 then e.ts end as updated_at
-from documents d join labels l on d.doc_id = l.doc_id join events e on e.event_id = d.doc_id""",
+from documents d left join labels l on d.doc_id = l.doc_id left join events e on e.event_id = d.doc_id""",
     # Every document saves a case, the labelled ones a second time under the label's rating.
     "fx_saves": """
 select 'case_' || cast(d.doc_id as string) as case_number, 1 as save_no, d.source as category,
@@ -149,9 +149,9 @@ select event_id, event_type as event_name, ' ' || props || '  ' as event_detail,
   'req_' || cast(event_id as string) as request_id, ts as created_at
 from events""",
     "fx_evals": """
-select 'case_' || cast(l.doc_id as string) as case_number, case when l.toxic = 1 then '' else d.source end as category,
-  cast(l.quality as string) as rating, d.text as evaluation_note, d.lang as user_name, e.ts as created_at
-from labels l join documents d on d.doc_id = l.doc_id join events e on e.event_id = l.doc_id""",
+select 'case_' || cast(d.doc_id as string) as case_number, case when l.toxic = 1 then '' else d.source end as category,
+  coalesce(cast(l.quality as string), 'unrated') as rating, d.text as evaluation_note, d.lang as user_name, e.ts as created_at
+from documents d left join labels l on d.doc_id = l.doc_id left join events e on e.event_id = d.doc_id""",
     "fx_counters": """
 select 'case_number_' || event_type as name, max(user_id) as last_value, max(ts) as updated_at
 from events where event_type <> 'view' group by event_type""",
@@ -160,7 +160,8 @@ select item_id, case item_id % 4 when 0 then 'en' when 1 then 'de'
   when 2 then 'fr' else 'es' end as category, text
 from benchmark""",
     "fx_match_candidates": """
-select d.doc_id, d.lang as category, d.text as searchable_text, d.source <> 'src7' as is_active,
+select d.doc_id, d.lang as category, d.text as product_name,
+  case when d.source = 'src3' then '' else d.text end as searchable_text, d.source <> 'src7' as is_active,
   e.ts as last_synced_at
 from documents d join events e on e.event_id = d.doc_id""",
     "fx_link_pages": """
@@ -226,13 +227,6 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return derived(spark, sf_dir, f"select * from {name}")
 
 
-def spread(df: DataFrame, sf_dir: str, origin: str) -> DataFrame:
-    """``df`` over all cores when the table it is made from is a file too small to be split."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if table(spark, sf_dir, origin).rdd.getNumPartitions() < cores else df
-
-
 def case_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The good and the bad case table."""
     rows = fixture(spark, sf_dir, "fx_cases").withColumn("category_slug", slug(F.col("category")))
@@ -263,5 +257,4 @@ def hints(spark: SparkSession) -> DataFrame:
 
 
 def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spread(fixture(spark, sf_dir, "fx_product_pages"), sf_dir, "part")
-    return pages.select(F.col("app_category").alias("source_label"), F.col("product_url").alias("url"), "html")
+    return fixture(spark, sf_dir, "fx_product_pages").select(F.col("app_category").alias("source_label"), F.col("product_url").alias("url"), "html")

@@ -82,7 +82,7 @@ def recent_events(spark, sf_dir):
 
 @query("recent_evals", fx.oracle(f"""
 select case_number, category, user_name, rating, evaluation_note, source_run_request_id, created_at
-from ({_EVAL_ROWS}) order by created_at desc, case_number limit 12"""))
+from ({_EVAL_ROWS}) order by created_at desc nulls last, case_number limit 12"""))
 def recent_evals(spark, sf_dir):
     return logs.recent_evals(evals(spark, sf_dir))
 
@@ -142,7 +142,7 @@ union all select request_id, status, latency_ms, created_at from fx_runs r
 where not exists (select 1 from latest l where l.request_id = r.request_id)"""))
 def upsert_runs(spark, sf_dir):
     changes = fx.fixture(spark, sf_dir, "fx_run_changes")
-    full = logs.normalise_runs(changes).join(changes.select("request_id", "status", "attempt"), ["request_id", "status"])
+    full = logs.normalise_runs(changes, keep=["attempt"])
     after = logs.upsert_runs(runs(spark, sf_dir), full, ["attempt"])
     return after.select("request_id", "status", "latency_ms", "created_at")
 
@@ -150,20 +150,42 @@ def upsert_runs(spark, sf_dir):
 _TOP = "order by updated_at desc nulls last, case_number limit 200"
 
 
+def _unpivoted(section: str, item: str, columns: str, rows: str) -> str:
+    """Every column of ``rows`` as a row of text; unpivoting drops nulls, so they go through as a mark."""
+    texts = ", ".join(f"coalesce(cast({c} as string), '(null)') as {c}" for c in columns.split())
+    return (
+        f"select '{section}', _item, field, nullif(value, '(null)') from (unpivot (select {item} as _item, {texts} from {rows})"
+        f" on columns(* exclude (_item)) into name field value value)"
+    )
+
+
+# The usage documents of the runs as a variant prints them: no blanks, keys in order.
+_USAGE = """case when usage_json like '%totalTokens%'
+  then '{"inputTokens":"3","output_tokens_details":{"reasoning_tokens":4},"totalTokens":9}'
+  when json_valid(usage_json) then cast(json(usage_json) as string) else '{}' end"""
+_RUN_VIEW = (
+    "request_id case_number category user_name model prompt_version status latency_ms input_chars usage_json "
+    "error_message created_at"
+)
+_EVENT_VIEW = "event_name event_detail level case_number category request_id created_at"
+_EVAL_VIEW = "case_number category user_name rating evaluation_note source_run_request_id created_at"
+
+
 @query("admin_summary", fx.oracle(f"""
 with counts as ({_COUNTS}), health as ({_health(_NEWEST, _OK)}),
 listed as ((select * from fx_cases where rating = 'good' {_TOP}) union all
-  (select * from fx_cases where rating = 'bad' {_TOP}))
-select 'totals' as section, item, cast(value as string) as value from (unpivot counts on columns(*) into name item value value)
-union all select 'recent_health', item, cast(value as string)
-  from (unpivot health on columns(*) into name item value value)
-union all select 'status_counts', coalesce(nullif(case_status, ''), 'AI Generated'), cast(count(*) as string)
-  from listed group by 2
-union all select 'recent_runs', request_id, status from {_NEWEST}
-union all select 'recent_events', request_id, event_name
-  from (select * from fx_event_rows order by created_at desc, request_id limit 6)
-union all select 'recent_evals', case_number, rating
-  from (select * from fx_evals order by created_at desc, case_number limit 6)"""))
+  (select * from fx_cases where rating = 'bad' {_TOP})),
+statuses as (select coalesce(nullif(case_status, ''), 'AI Generated') as case_status, count(*) as cases from listed group by 1),
+run_view as (select * replace ({_USAGE} as usage_json) from ({_RUN_ROWS}) order by created_at desc, request_id limit 6),
+event_view as (select * from ({EVENT_ROWS}) order by created_at desc, request_id limit 6),
+eval_view as (select * from ({_EVAL_ROWS}) order by created_at desc nulls last, case_number limit 6)
+select '' as section, '' as item, '' as field, '' as value where false
+union all {_unpivoted('totals', "''", 'good_cases bad_cases product_catalog_items ai_runs event_logs eval_cases', 'counts')}
+union all {_unpivoted('recent_health', "''", 'successful_runs failed_runs avg_latency_ms', 'health')}
+union all {_unpivoted('status_counts', 'case_status', 'case_status cases', 'statuses')}
+union all {_unpivoted('recent_runs', 'request_id', _RUN_VIEW, 'run_view')}
+union all {_unpivoted('recent_events', 'request_id', _EVENT_VIEW, 'event_view')}
+union all {_unpivoted('recent_evals', 'case_number', _EVAL_VIEW, 'eval_view')}"""))
 def admin_summary_query(spark, sf_dir):
     good, bad = fx.case_tables(spark, sf_dir)
     return admin_summary(

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from caseloom import schemas
-from caseloom.functions.text import tokens
+from caseloom.functions.text import slug, tokens
 from caseloom.operators import match as M
 from caseloom.sources.tables import conform
 from caseloom.workload import duck as D
@@ -23,31 +23,29 @@ ranked as (select *, row_number() over (partition by target_id order by score de
   from scored)"""
 
 
-_CANDIDATES = """
-pool as (select key, scope, recency, text from (
-  select doc_id as key, category as scope, last_synced_at as recency, searchable_text as text,
-    row_number() over (partition by category order by last_synced_at desc, doc_id) as rn from fx_match_candidates)
-  where rn <= 250),
-targets as (select item_id as target_id, category as scope, text from fx_match_targets)"""
+# The result size of the overlap query.
+SHOWN = 20
 
 
 @query("token_overlap", fx.oracle(f"""
-with {_CANDIDATES},{_scored('targets', 'pool')}
-select target_id, position, key, score from ranked"""))
+with pool as (select doc_id as key, category as scope, last_synced_at as recency, product_name as text from fx_match_candidates),
+targets as (select item_id as target_id, category as scope, text from fx_match_targets),{_scored('targets', 'pool')}
+select target_id, position, key, score from ranked where position <= {SHOWN}"""))
 def token_overlap(spark, sf_dir):
     pool = M.candidate_pool(
         fx.fixture(spark, sf_dir, "fx_match_candidates"), "category", "doc_id", "last_synced_at",
-        tokens(F.col("searchable_text")),
+        tokens(F.col("product_name")),
     )
     targets = fx.fixture(spark, sf_dir, "fx_match_targets").select(
         F.col("item_id").alias("target_id"), F.col("category").alias("scope"), tokens(F.col("text")).alias("words")
     )
-    return M.token_overlap(targets, pool)
+    return M.token_overlap(targets, pool, SHOWN)
 
 
 @query("recommend_products", fx.oracle(f"""
 with products as (select 'https://shop.example.com/store/d' || cast(doc_id as string) || '.html' as url, * from fx_match_candidates),
-pool as (select url as key, category as scope, last_synced_at as recency, searchable_text as text from (
+pool as (select url as key, category as scope, last_synced_at as recency,
+  coalesce(nullif(searchable_text, ''), product_name) as text from (
   select *, row_number() over (partition by category order by last_synced_at desc, url) as rn from products where is_active)
   where rn <= 250),
 targets as (select item_id as target_id, category as scope, category || ' ' || text as text from fx_match_targets),
@@ -72,21 +70,21 @@ def recommend_products(spark, sf_dir):
 
 
 @query("similar_cases", fx.oracle(f"""
-with pool as (select key, scope, recency, text from (
-  select case_number as key, 'all' as scope, coalesce(updated_at, created_at) as recency, user_comment as text,
-    row_number() over (order by coalesce(updated_at, created_at) desc, case_number) as rn from fx_cases
-  where case_status in ('Verified - Good', 'Verified - Corrected')) where rn <= 250),
-targets as (select cast(conv_id as string) || '/' || cast(turn as string) as target_id, 'all' as scope,
-  role || ' seen ' || text as text from conversations),
+with pool as (select case_number as key, category as scope, coalesce(updated_at, created_at) as recency, user_comment as text
+  from fx_cases where case_status in ('Verified - Good', 'Verified - Corrected')),
+targets as (select cast(conv_id as string) || '/' || cast(turn as string) as target_id,
+  'src' || cast(conv_id % 20 as string) as scope, role || ' seen ' || text as text from conversations),
 {_scored('targets', 'pool')}
 select target_id, position, key as case_number, score from ranked where position <= 5"""))
 def similar_cases(spark, sf_dir):
     turn = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    targets = M.request_words(requests(spark, sf_dir).withColumn("target", turn), "target", F.lit("all"))
+    asked = requests(spark, sf_dir).withColumn("target", turn)
+    category = F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string"))
+    targets = M.request_words(asked, "target", slug(category))
     good, bad = fx.case_tables(spark, sf_dir)
     eligible = F.col("case_status").isin(schemas.VERIFIED_GOOD, schemas.VERIFIED_CORRECTED)
     cases = good.unionByName(bad).select(
-        F.lit("all").alias("scope"), "case_number", F.coalesce("updated_at", "created_at").alias("updated_at"),
+        F.col("category_slug").alias("scope"), "case_number", F.coalesce("updated_at", "created_at").alias("updated_at"),
         F.col("user_comment").alias("search_text"), eligible.alias("learning_eligible"),
     )
     return M.similar_cases(targets, cases)

@@ -26,7 +26,7 @@ def sides(spark):
     pool = [(f"k{i:03}", rng.choice(scopes), at(rng.randrange(40)), t) for i, t in enumerate(_texts(rng, 90))]
     best = {}
     for tid, scope, text in targets:
-        mine = sorted((c for c in pool if c[1] == scope), key=lambda c: (-c[2].timestamp(), c[0]))[:20]
+        mine = sorted((c for c in pool if c[1] == scope), key=lambda c: (-c[2].timestamp(), c[0]))
         scored = [(len(set(text.split()) & set(c[3].split())), place, c[0]) for place, c in enumerate(mine)]
         ranked = sorted((s for s in scored if s[0]), key=lambda s: (-s[0], s[1]))
         best[tid] = [(k, s) for s, _, k in ranked]
@@ -34,16 +34,16 @@ def sides(spark):
     cdf = spark.createDataFrame(pool, "key string, scope string, ts timestamp_ntz, text string")
     return (
         tdf.select("target_id", "scope", tokens(F.col("text")).alias("words")),
-        M.candidate_pool(cdf, "scope", "key", "ts", tokens(F.col("text")), 20),
+        M.candidate_pool(cdf, "scope", "key", "ts", tokens(F.col("text"))),
         best,
     )
 
 
-@pytest.mark.parametrize("limit", [M.BROADCAST_ENTRIES, 0])
-@pytest.mark.parametrize("k", [3, M.CANDIDATES])
-def test_overlap(sides, monkeypatch, limit, k):
-    """Both ways to meet the pool, broadcast and salted, give every target its list."""
-    monkeypatch.setattr(M, "BROADCAST_ENTRIES", limit)
+@pytest.mark.parametrize("block", [M.BLOCK, 7])
+@pytest.mark.parametrize("k", [3, 250])
+def test_overlap(sides, monkeypatch, block, k):
+    """Every target gets its list, over one block or many."""
+    monkeypatch.setattr(M, "BLOCK", block)
     targets, pool, best = sides
     got = {}
     for r in dicts(M.token_overlap(targets, pool, k), "target_id", "position"):
