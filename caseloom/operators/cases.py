@@ -29,6 +29,10 @@ NO_STATUS = "A verified case status is required."
 NO_CORRECTION = "Corrected recommendation is required for Verified - Corrected."
 NOT_FOUND = "Case not found."
 REQUIRED_CASE = {"case_number": "casePayload.caseNumber is required.", "pdf_name": "pdfName is required."}
+REQUIRED_EVAL = {"case_number": "caseNumber is required."}
+REQUIRED_CATEGORY = {"category": "category is required."}  # Of a case-number request; looked at trimmed.
+_UPLOAD = "Completed PDF upload data is incomplete."
+REQUIRED_UPLOAD = {"filename": _UPLOAD, "folder_path": _UPLOAD, "data": _UPLOAD}  # Looked at trimmed.
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 

@@ -106,24 +106,27 @@ def number_in_order(
         "ordered",
     )
     # An id holds the partition in its upper bits and the row within it in the lower 33.
-    part, row = F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit(2**33 - 1))
+    placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_row", F.col("_at").bitwiseAND(F.lit(2**33 - 1)))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     # No more rows than shuffle partitions, so the hint is safe.
     starts = F.broadcast(starts)
-
-    def positioned(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_part", part).join(starts, "_part").withColumn("_position", F.col("_start") + row)
-
-    firsts = positioned(placed.groupBy(group).agg(F.min("_at").alias("_at")))
-    firsts = firsts.select(group, (F.col("_position") - 1).alias("_before"))
+    # One row per partition and group; a group's first place is the least of its rows'.
+    met = placed.groupBy("_part", group).agg(F.min("_row").alias("_row")).join(starts, "_part")
+    firsts = met.groupBy(F.col(group).alias("_group")).agg(F.min(F.col("_start") + F.col("_row") - 1).alias("_before"))
     if offsets is not None:
-        start = F.coalesce(F.col("start"), F.lit(0))
-        firsts = firsts.join(offsets, group, "left").select(group, (F.col("_before") - start).alias("_before"))
+        shift = offsets.select(F.col(group).alias("_shifted"), "start")
+        firsts = firsts.join(shift, F.col("_group").eqNullSafe(F.col("_shifted")), "left").select(
+            "_group", (F.col("_before") - F.coalesce(F.col("start"), F.lit(0))).alias("_before")
+        )
+    # Back to the rows by partition and group, so that a hot group stays split.
+    shifts = met.join(firsts, F.col(group).eqNullSafe(F.col("_group"))).select(
+        F.col("_part").alias("_part2"), "_group", (F.col("_start") - F.col("_before")).alias("_shift")
+    )
+    own = (F.col("_part") == F.col("_part2")) & F.col(group).eqNullSafe(F.col("_group"))
     return (
-        positioned(placed)
-        .join(firsts, group)
-        .withColumn(number, (F.col("_position") - F.col("_before")).cast("bigint"))
-        .drop("_at", "_part", "_start", "_position", "_before")
+        placed.join(shifts, own)
+        .withColumn(number, (F.col("_row") + F.col("_shift")).cast("bigint"))
+        .drop("_at", "_part", "_row", "_part2", "_group", "_shift")
     )

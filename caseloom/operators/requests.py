@@ -22,7 +22,7 @@ def payload_counts(requests: DataFrame) -> DataFrame:
         .withColumn("updates", count(F.size("chatUpdates")))
         .withColumn("files", count(files))
         .withColumn("photos", count(F.size("formPhotos")))
-        .withColumn("text_size", F.length(F.to_json(F.struct(*REQUESTS.names))).cast("bigint"))
+        .withColumn("text_size", F.length(F.to_json(F.struct(*REQUESTS.names), {"ignoreNullFields": "false"})).cast("bigint"))
     )
 
 

@@ -305,3 +305,28 @@ select 'case_number_case' as name, max(doc_id) as last_value from fx_cases"""))
 def current_sequences(spark, sf_dir):
     good, bad = fx.case_tables(spark, sf_dir)
     return K.current_sequences(good.unionByName(bad))
+
+
+@query("split_valid_requests", """
+select 'eval' as kind, cast(doc_id as bigint) as id,
+  case when lang = 'fr' then 'caseNumber is required.' end as reason from documents
+union all select 'number', event_id, case when event_type in ('error', 'view') then 'category is required.' end from events
+union all select 'upload', page_id, case when page_id % 5 < 3 then 'Completed PDF upload data is incomplete.' end from pages""")
+def split_valid_requests(spark, sf_dir):
+    """The rules of evaluations, case-number requests and uploads, each over a table of its own."""
+    def judged(kind, key, rows, required, trimmed=False):
+        accepted, rejected = K.split_valid_rows(rows, required, trimmed)
+        both = accepted.withColumn("reason", F.lit(None).cast("string")).unionByName(rejected)
+        return both.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), "reason")
+
+    docs, events, pages = (fx.table(spark, sf_dir, name) for name in ("documents", "events", "pages"))
+    evals = docs.select("doc_id", F.when(F.col("lang") != "fr", F.col("source")).alias("case_number"))
+    blank = F.when(F.col("event_type") == "error", "  ").when(F.col("event_type") != "view", F.col("event_type"))
+    uploads = pages.select(
+        "page_id", *[F.when(F.col("page_id") % 5 != i, F.col("url")).otherwise(" ").alias(name) for i, name in enumerate(K.REQUIRED_UPLOAD)]
+    )
+    return (
+        judged("eval", "doc_id", evals, K.REQUIRED_EVAL)
+        .unionByName(judged("number", "event_id", events.select("event_id", blank.alias("category")), K.REQUIRED_CATEGORY, True))
+        .unionByName(judged("upload", "page_id", uploads, K.REQUIRED_UPLOAD, True))
+    )

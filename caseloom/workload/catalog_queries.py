@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from caseloom.functions import pages as P
 from caseloom.operators import catalog as C
 from caseloom.operators.crawl import seen_links
 from caseloom.operators.keyed import newest_per_group
@@ -254,8 +255,10 @@ select category, 'Use these synced shop products as the preferred recommendation
 from ranked join spec_lines l on l.url = ranked.page_url where position <= 5 group by category"""))
 def render_products_query(spark, sf_dir):
     pages = fx.product_pages(spark, sf_dir)
-    records = C.drop_untitled(C.page_records(pages, fx.BASE, fx.PREFIX, keep=["source_label"]))
-    recency = fx.fixture(spark, sf_dir, "fx_products").select("product_url", "last_synced_at")
-    dated = records.join(recency, "product_url").withColumnRenamed("source_label", "category")
-    ranked = newest_per_group(dated, "category", "last_synced_at", ["product_url"], 5, "position")
+    recency = fx.fixture(spark, sf_dir, "fx_products").select(F.col("product_url").alias("url"), "last_synced_at")
+    # Ranked first, by what needs one field: the others are read off the kept pages only.
+    titled = pages.where(P.title(F.col("html")) != "").select("source_label", "url").join(recency, "url")
+    best = newest_per_group(titled, "source_label", "last_synced_at", ["url"], 5, "position")
+    kept = pages.join(best.select("url", "position"), "url")
+    ranked = C.page_records(kept, fx.BASE, fx.PREFIX, keep=["source_label", "position"]).withColumnRenamed("source_label", "category")
     return render_products(top_k(ranked), "category")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from caseloom.functions import text as X
 from caseloom.functions import urls as U
 from caseloom.functions.records import read_json
+from caseloom.schemas import FORM_FIELDS
 from caseloom.operators import logs
 from caseloom.operators.cases import reference_meta
 from caseloom.operators.crawl import listing_urls
@@ -170,7 +171,6 @@ def requests(spark, sf_dir):
     role, text = F.col("role"), F.col("text")
     form = {"application": role, "problem": text}
     blank = F.lit(None).cast("string")
-    names = ["application", "problem", "additionalInfo", "existing", "type", "load", "environment", "priority", "industry"]
     updates = F.transform(
         F.split(text, "\n"),
         lambda line: F.struct(
@@ -180,7 +180,7 @@ def requests(spark, sf_dir):
     )
     return fx.table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", role.alias("category"),
-        F.struct(*[form.get(n, blank).alias(n) for n in names]).alias("formData"),
+        F.struct(*[form.get(n, blank).alias(n) for n in FORM_FIELDS]).alias("formData"),
         updates.alias("chatUpdates"),
         F.create_map(F.lit("turn"), F.col("turn").cast("string")).alias("followUpAnswers"),
         F.array_repeat(F.lit("photo"), (F.col("turn") % 5).cast("int")).alias("formPhotos"),
@@ -198,20 +198,25 @@ def payload_counts_query(spark, sf_dir):
     return payload_counts(requests(spark, sf_dir)).select("conv_id", "turn", "answers", "updates", "files", "photos")
 
 
+_FORM = ", ".join(
+    f"'{n}': {'role' if n == 'application' else 'text' if n == 'problem' else 'cast(null as string)'}" for n in FORM_FIELDS
+)
+_DOCUMENT = f"""to_json({{'category': role, 'formData': {{{_FORM}}},
+  'chatUpdates': list_transform({_LINES}, lambda x: {{'text': x, 'insights': [role, 'seen'], 'files': string_split(x, '. ')}}),
+  'followUpAnswers': {{'turn': cast(turn as string)}}, 'formPhotos': list_transform(range(turn % 5), lambda x: 'photo')}})"""
+
+
 @query("route_requests", f"""
-with counted as (select {_COUNTS}, cast(length(text) as bigint) as text_size, role from conversations),
+with counted as (select {_COUNTS}, cast(length(cast({_DOCUMENT} as string)) as bigint) as text_size, role from conversations),
 scored as (select *, least(6, text_size // 450) + least(4, answers) + least(5, updates) + least(5, files)
   + least(3, photos) as score from counted)
-select conv_id, turn, score, case when role = 'system' then 'gpt-5.4-mini' when score >= 10 then 'gpt-5.4'
+select conv_id, turn, text_size, score, case when role = 'system' then 'gpt-5.4-mini' when score >= 10 then 'gpt-5.4'
   else 'gpt-5.4-mini' end as tier from scored""")
 def route_requests_query(spark, sf_dir):
-    """Text size here is that of the turn's text, which both engines count alike."""
     wanted = F.when(F.col("category") == "system", " GPT-5.4-mini").when(F.col("category") == "user", "auto")
-    counted = payload_counts(requests(spark, sf_dir)).withColumn(
-        "text_size", F.length("formData.problem").cast("bigint")
-    )
+    counted = payload_counts(requests(spark, sf_dir))
     routed = route_requests(counted.withColumn("requested", wanted.otherwise("other")), "requested")
-    return routed.select("conv_id", "turn", "score", "tier")
+    return routed.select("conv_id", "turn", "text_size", "score", "tier")
 
 
 _CHAT = f"array_to_string(list_transform({_LINES}, lambda x: x || ' ' || role || ' seen'), ' ')"
