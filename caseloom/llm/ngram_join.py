@@ -1,16 +1,20 @@
 """Exact Jaccard join on word n-grams by a blocked product of document and n-gram incidence.
 
 1. A scan turns each text into its distinct n-grams. Equal sets are one matrix row.
-2. Columns are dealt into blocks. Two sets of sizes n <= m with Jaccard similarity of at
-   least t have n >= t * m and differ in at most (1 - t) / t * n n-grams, so with one
-   column block more than that they agree in a whole block. Sizes fall into classes; a
-   class fixes the number of blocks, and a set also enters the class below when it can
-   link to it. Sets that agree in a block are chained to the first of them: no pairs are
-   listed, and a block that a third of all rows share is cut up by range.
-3. Only chained sets are multiplied: groups of chained sets in tiles of at most ``TILE``
-   rows, sorted by size class. A tile's product accumulates overlap counts over column
-   strips and discards pairs that their sizes, or what is left of their n-grams, rule
-   out. A tile returns a spanning forest of its links.
+2. Columns are ordered by document frequency (from a sketch of bounded size; any order
+   gives the same links, a good one fewer candidates), rare ones first. For a link of
+   similarity t two sets of sizes n and m must share t * n and t * m n-grams, so they
+   share one among the first n - ceil(t * n) + 1 of the one and the like of the other.
+   Sets of sizes that can link and with such a column in common are chained to the first
+   of them: no pairs are listed, and a column that a third of all rows hold is cut up by
+   range. Sizes fall into classes; links are within a class or between neighbours.
+3. Groups of chained sets are thinned by parity bitmaps: each n-gram flips a bit, so two
+   bitmaps differ in at most as many bits as the sets in n-grams. Pairs whose bitmaps
+   differ too much cannot link; what is left falls into smaller groups.
+4. Only sets of these groups are multiplied, in tiles of at most ``TILE`` rows, by size
+   class, as far as sizes can link. A tile's product accumulates overlap
+   counts over column strips and discards pairs that their sizes, or what is left of
+   their n-grams, rule out. A tile returns a spanning forest of its links.
 
 A document's component is the smallest id reachable by links. Only ids, sizes, hashes
 and the sets of chained documents are shuffled. N-grams are compared by 64-bit hash.
@@ -34,6 +38,7 @@ from caseloom.llm.bloom_cascade import filter_words, passes
 from caseloom.llm.common import small_batches, texts
 from caseloom.llm.components import connected_components
 from caseloom.llm.shingles import mix, shingle_hashes
+from caseloom.llm.sketch import cell_of, document_frequencies
 from caseloom.sources.tables import stage
 
 TILE, STRIP = 256, 4096
@@ -41,35 +46,37 @@ FILTER_BYTES = 16 << 20
 
 
 class Classes:
-    """Size classes and column blocks for links at ``percent`` similarity or more."""
+    """Size classes: sets of linked documents are of one class or of two next to each other."""
 
     def __init__(self, percent: int):
         if not 50 <= percent < 100:
             raise ValueError("percent must be from 50 to 99")
-        self.percent = percent
-        self.least = [1]  # The smallest size of each class; a class spans a little over two steps of 1 / t.
+        self.least = [1]  # The smallest size of each class; a class spans two steps of 1 / t.
         while self.least[-1] < 1 << 40:
             self.least.append(self.least[-1] * 10_000 // percent**2 + 1)
+        self.percent = percent
 
     def of(self, size: int) -> list[int]:
         """The class of a size, and the one below where a linked set could be in it."""
         own = bisect_right(self.least, size) - 1
-        below = own and size * self.percent <= 100 * (self.least[own] - 1)
-        return [own, own - 1] if below else [own]
+        return [own, own - 1] if own and size * self.percent <= 100 * (self.least[own] - 1) else [own]
+
+
+def rare_first(grams: np.ndarray, frequencies: np.ndarray, classes: Classes) -> np.ndarray:
+    """Hashes of a set's first columns, of which it shares one with every set it links to, with each size class it takes part in."""
+    n = len(grams)
+    count = np.minimum(frequencies[cell_of(grams)], 0xFFFF).astype(np.uint64)
+    order = (count << np.uint64(48)) | (mix(grams) >> np.uint64(16))
+    size = n - -(-n * classes.percent // 100) + 1
+    first = grams[np.argpartition(order, size - 1)[:size]] if size < n else grams
+    return np.concatenate([mix(first ^ np.uint64(cls + 1)) for cls in classes.of(n)])
 
-    def blocks(self, cls: int) -> int:
-        return (self.least[cls + 1] - 1) * (100 - self.percent) // self.percent + 1
 
-    def block_hashes(self, grams: np.ndarray) -> np.ndarray:
-        """A hash of what a set has in each column block, for each class it takes part in."""
-        out = []
-        column, value = mix(grams ^ np.uint64(0x5851F42D4C957F2D)), mix(grams + np.uint64(0x14057B7EF767814F))
-        for cls in self.of(len(grams)):
-            n = self.blocks(cls)
-            sums = np.zeros(n, np.uint64)
-            np.add.at(sums, (column % np.uint64(n)).astype(np.intp), value)
-            out.append(mix(mix(np.arange(n, dtype=np.uint64) + np.uint64(cls << 40)) ^ sums))
-        return np.concatenate(out)
+def parity_bits(grams: np.ndarray) -> bytes:
+    """A bitmap of about one bit for each n-gram, in which each n-gram flips one."""
+    size = 1 << max(6, int(len(grams) - 1).bit_length())
+    odd = np.bincount((mix(grams ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(size - 1)).astype(np.intp), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
 def set_hashes(grams: np.ndarray) -> tuple[int, int]:
@@ -79,8 +86,10 @@ def set_hashes(grams: np.ndarray) -> tuple[int, int]:
 
 
 def incidence(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``doc_id``, set hashes ``s1`` and ``s2``, set size ``n`` and ``blocks``: the block hashes, given
-    once for each set and batch so that exact copies are thinned out before the shuffle."""
+    """``doc_id``, set hashes ``s1`` and ``s2``, set size ``n`` and ``first``: the set's first columns, and
+    its parity ``bits``, given once for each set and batch so that exact copies are thinned out before the shuffle."""
+    counts = document_frequencies(texts(docs), lambda text: shingle_hashes(text.encode(), words))
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(percent)
@@ -92,17 +101,17 @@ def incidence(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     grams = shingle_hashes(text.encode(), words)
                     key = set_hashes(grams)
                     fresh = len(grams) and key not in seen
-                    rows.append((*key, len(grams), classes.block_hashes(grams).view(np.int64) if fresh else np.empty(0, np.int64)))
+                    rows.append((*key, len(grams), rare_first(grams, shared.value, classes).view(np.int64) if fresh else np.empty(0, np.int64), parity_bits(grams) if fresh else None))
                     seen.add(key)
-                s1, s2, n, blocks = zip(*rows)
-                arrays = [part.column("doc_id"), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(n, pa.int64()), pa.array(blocks, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "s1", "s2", "n", "blocks"])
+                s1, s2, n, first, bits = zip(*rows)
+                arrays = [part.column("doc_id"), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "s1", "s2", "n", "first", "bits"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, s1 long, s2 long, n long, blocks array<long>")
+    return texts(docs).mapInArrow(run, "doc_id long, s1 long, s2 long, n long, first array<long>, bits binary")
 
 
 def chains(rows: DataFrame) -> DataFrame:
-    """``a``, ``b``: each set chained to the first set with the same block hash (columns ``block``, ``s1``).
+    """``a``, ``b``: each entry ``s1`` chained to the first one with the same ``block`` (a column, or a hash).
 
     Rows are sorted by block and set over range partitions, so one block may span several
     tasks; a task holds one batch. Where a block meets a partition's edge, the chains of
@@ -171,32 +180,56 @@ def tile_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tu
         strip[r[r >= 0], c[r >= 0]] = 1
         overlap[np.ix_(alive, alive)] += strip @ strip.T
         left -= np.bincount(row[lo:hi], minlength=len(sets))
-    root = list(range(len(sets)))
+    return _forest(ids, np.argwhere(viable & (overlap >= needed)))
+
+
+def _forest(ids: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int]]:
+    """The pairs of positions that a spanning forest keeps, as ids."""
+    root = list(range(len(ids)))
 
     def find(x: int) -> int:
         while root[x] != x:
             root[x] = x = root[root[x]]
         return x
 
-    forest = []
-    for a, b in np.argwhere(viable & (overlap >= needed)).tolist():
+    kept = []
+    for a, b in pairs.tolist():
         x, y = find(a), find(b)
         if x != y:
             root[max(x, y)] = min(x, y)
-            forest.append((int(ids[a]), int(ids[b])))
-    return forest
-
-
-def links(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between set representatives (``a``, ``b``: ids), a spanning forest of each tile.
-
-    ``rows`` is the result of ``incidence``, written.
+            kept.append((int(ids[a]), int(ids[b])))
+    return kept
+
+
+def tile_survivors(ids: np.ndarray, sizes: np.ndarray, bits: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that sizes and parity bitmaps do not rule out."""
+    maps = [np.frombuffer(b, np.uint64) for b in bits]
+    width = np.array([len(m) for m in maps])
+    found = []
+    for w in np.unique(width):
+        # Bitmaps of this width, and wider ones folded to it.
+        own = np.flatnonzero(width == w)
+        rest = np.flatnonzero((width >= w) & (sizes * percent <= 100 * sizes[own].max()))
+        left = np.stack([maps[i] for i in own])
+        right = np.stack([np.bitwise_xor.reduce(maps[i].reshape(-1, w), axis=0) for i in rest])
+        step = max(1, 4_000_000 // (len(rest) * int(w)))
+        for start in range(0, len(own), step):
+            a = own[start : start + step]
+            differ = np.bitwise_count(left[start : start + step, None] ^ right[None]).sum(axis=2, dtype=np.int64)
+            small, large = np.minimum(sizes[a][:, None], sizes[rest]), np.maximum(sizes[a][:, None], sizes[rest])
+            near = (differ * (100 + percent) <= (small + large) * (100 - percent)) & (small * 100 >= large * percent)
+            x, y = np.nonzero(near)
+            x, y = a[x], rest[y]
+            new = (width[y] > w) | (x < y)
+            found.append(np.stack([x[new], y[new]], axis=1))
+    return _forest(ids, np.concatenate(found)) if found else []
+
+
+def _in_tiles(nodes: DataFrame, percent: int) -> DataFrame:
+    """``nodes`` (``id``, ``n``, ``root`` and others) with the ``tiles`` in which each meets the rest of its group.
+
+    Groups within a tile's bound share tiles; larger ones are cut by size class and slice.
     """
-    edges = chains(rows.select(F.explode("blocks").alias("block"), "s1"))
-    grouped = connected_components(edges)
-    nodes = rows.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"))
-    nodes = stage(nodes.join(grouped.select(F.col("node").alias("s1"), "root"), "s1"), "chained-sets")
-    # Groups within a tile's bound share tasks; larger ones are cut by size class and slice.
     sizes = nodes.groupBy("root").count()
     packs = max(1, -(-nodes.count() // TILE))
     classes = Classes(percent)
@@ -205,7 +238,8 @@ def links(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFra
     def size_class(n: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(classes.least, n, side="right") - 1, dtype="int32")
 
-    small = nodes.join(sizes.where(f"count <= {TILE}"), "root").select("id", "s1", "s2", "root", F.array(F.concat_ws(":", F.lit("p"), F.pmod(F.xxhash64("root"), F.lit(packs)))).alias("tiles"))
+    pack = F.concat_ws(":", F.lit("p"), F.pmod(F.xxhash64("root"), F.lit(packs)))
+    small = nodes.join(sizes.where(f"count <= {TILE}"), "root").select(*nodes.columns, F.array(pack).alias("tiles"))
     large = nodes.join(sizes.where(f"count > {TILE}"), "root").withColumn("cls", size_class("n"))
     slices = large.groupBy("root", "cls").agg(F.expr(f"ceil(count(*) / ({TILE} / 2))").cast("int").alias("slices"))
     above = slices.select("root", (F.col("cls") - 1).alias("cls"), F.col("slices").alias("over"))
@@ -216,8 +250,30 @@ def links(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFra
         transform(sequence(0, slices - 1), j -> concat_ws(':', root, cls, cls, least(j, {own}), greatest(j, {own}))),
         if(over is null, array(), transform(sequence(0, over - 1), j -> concat_ws(':', root, cls, cls + 1, {own}, j))),
         if(under is null, array(), transform(sequence(0, under - 1), j -> concat_ws(':', root, cls - 1, cls, j, {own}))))"""
-    large = cut.select("id", "s1", "s2", "root", F.expr(tiles).alias("tiles"))
-    placed = stage(small.unionByName(large), "tiles")
+    return small.unionByName(cut.select(*nodes.columns, F.expr(tiles).alias("tiles")))
+
+
+def links(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between set representatives (``a``, ``b``: ids), a spanning forest of each tile.
+
+    ``rows`` is the result of ``incidence``, written.
+    """
+    edges = chains(rows.select(F.explode("first").alias("block"), "s1"))
+    grouped = connected_components(edges)
+    nodes = rows.where("n > 0 and doc_id is not null").join(grouped.select(F.col("node").alias("s1"), "root"), "s1")
+    nodes = stage(nodes.groupBy("s1", "s2", "n", "root").agg(F.min("doc_id").alias("id"), F.max("bits").alias("bits")), "chained-sets")
+
+    def thin(group: pd.DataFrame) -> pd.DataFrame:
+        forest = []
+        for _, one in group.groupby("root"):
+            if len(one) > 1:
+                forest += tile_survivors(one["id"].to_numpy(), one["n"].to_numpy(), one["bits"].tolist(), percent)
+        return pd.DataFrame(forest, columns=["a", "b"], dtype="int64")
+
+    tiled = _in_tiles(nodes, percent).select(F.explode("tiles").alias("tile"), "id", "n", "root", "bits")
+    left = connected_components(tiled.groupBy("tile").applyInPandas(thin, "a long, b long"))
+    nodes = stage(nodes.drop("root", "bits").join(left.select(F.col("node").alias("id"), "root"), "id"), "thinned-sets")
+    placed = stage(_in_tiles(nodes, percent), "tiles")
 
     # The sets of representatives are read off the texts once more; a bounded filter leaves out nearly all other texts.
     keyed = placed.select(F.xxhash64("id").bitwiseXOR(F.col("s1")).alias("g1"), F.col("s2").alias("g2"))
@@ -254,5 +310,5 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
     linked = connected_components(links(docs, rows, words, percent)).select(F.col("node").alias("id"), "root")
     nodes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"))
     placed = nodes.join(linked, "id", "left").select("s1", "s2", "n", F.coalesce("root", "id").alias("component_id"))
-    full = rows.where("n > 0").drop("blocks").join(placed, ["s1", "s2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    full = rows.where("n > 0").drop("first", "bits").join(placed, ["s1", "s2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
