@@ -20,7 +20,6 @@ blocks. Of two fitting rules of equal length the one with the longer host wins.
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,19 +143,22 @@ def mark_listed(df: DataFrame, column: str, into: str, parts: list[list[np.ndarr
             continue
         shared = spark.sparkContext.broadcast(levels)
 
-        @F.pandas_udf("array<boolean>")
-        def judged(g1: pd.Series, g2: pd.Series, before: pd.Series) -> pd.Series:
-            if not len(g1):
-                return pd.Series([], dtype=object)
-            cuts = np.cumsum([len(x) for x in g1])[:-1]
-            a, b = (np.concatenate([np.asarray(x, "i8") for x in g]) for g in (g1, g2))
-            own = np.flatnonzero(a % n_parts == part)
-            found = np.concatenate([np.asarray(x, bool) for x in before])
-            found[own] = member(shared.value, a[own], b[own])
-            return pd.Series(np.split(found, cuts))
-
+        def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                g1, g2, before = (batch.column(c) for c in ("_g1", "_g2", into))
+                a, b = g1.flatten().to_numpy(), g2.flatten().to_numpy()
+                found = before.flatten().to_numpy(zero_copy_only=False).astype(bool)
+                own = np.flatnonzero(a % n_parts == part)
+                found[own] = member(shared.value, a[own], b[own])
+                sizes = np.asarray(before.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                marks = pa.ListArray.from_arrays(offsets, pa.array(found))
+                kept = [marks if n == into else batch.column(n) for n in names]
+                yield pa.RecordBatch.from_arrays(kept, names)
+
+        names, schema = result.columns, result.schema
         first, second = (F.transform(column, lambda k: _hashes(k)[i]) for i in (0, 1))
-        result = result.withColumn(into, judged(first, second, F.col(into)))
+        result = result.withColumns({"_g1": first, "_g2": second}).mapInArrow(judged, schema)
         if n_parts > 1:  # Not two parts' filters in one task.
             result = stage(result, "cascade-pass")
     return result
