@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from caseloom.llm import byte_cnn, chunk_table, ngram_join, pii_bootstrap, temperature_mixing
-from caseloom.llm.common import table
+from caseloom.llm.common import bounded_batches, table
 from caseloom.sources.tables import stage
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -25,6 +25,7 @@ REPETITION_LIMIT = 2.0
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a classifier fitted on the labelled ones scores 0.5 or more."""
+    bounded_batches(spark)
     network = byte_cnn.fit(docs, table(spark, sf_dir, "labels"))
     return docs.where(byte_cnn.score_column(network, F.col("text")) >= 0.5)
 
