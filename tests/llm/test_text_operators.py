@@ -127,6 +127,25 @@ def test_bootstrap_finds_what_seeds_stand_beside(spark):
     assert seeds and sum("id:21:37" in s for s in found.values()) == len(rows) - seeds and found[40] == ""
 
 
+def test_bootstrap_goes_on_from_what_it_found(spark):
+    """The numbers found beside "account" recur after "ref", where no base span is."""
+    numbers = [f"41111111111111{i:02}" for i in range(100)]
+    valid, other = [n for n in numbers if _luhn(n)], [n for n in numbers if not _luhn(n)][:10]
+    assert len(valid) == 10
+    rows = [f"filler words account {n} end" for n in valid + other] + [f"more of ref {n} here" for n in other] + ["page 12 of", "page 13 of", "page 14 of"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = [r.spans for r in sorted(pii_bootstrap.digests(pii_bootstrap.find(docs)).collect(), key=lambda r: r.doc_id)]
+    assert found[10:20] == ["id:21:37"] * 10 and found[20:30] == ["id:12:28"] * 10 and found[30:] == [""] * 3
+
+
+def test_every_base_span_is_a_seed(spark):
+    texts = ["mail bob@example.com now", "call +1 (212) 555-0000 now", "card 4111 1111 1111 1111", "at @home"]
+    seen = pii_bootstrap.occurrences(pii_bootstrap.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    seeds = {(r.pattern, r.instance) for r in seen if r.seed}
+    assert seeds >= {("mail a@a.a:15", "bob@example.com"), ("call +9 9 9-9:15", "+1 212 555-0000"), ("card 9 9 9 9:19", "4111 1111 1111 1111")}
+    assert all(r.seed for r in seen)
+
+
 def test_redact_keeps_rows_and_columns(spark):
     docs = awkward_docs(spark)
     clean = pii_bootstrap.redact(docs)
