@@ -260,8 +260,10 @@ def links(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFra
     """
     edges = chains(rows.select(F.explode("first").alias("block"), "s1"))
     grouped = connected_components(edges)
-    nodes = rows.where("n > 0 and doc_id is not null").join(grouped.select(F.col("node").alias("s1"), "root"), "s1")
-    nodes = stage(nodes.groupBy("s1", "s2", "n", "root").agg(F.min("doc_id").alias("id"), F.max("bits").alias("bits")), "chained-sets")
+    nodes = rows.where("n > 0").join(grouped.select(F.col("node").alias("s1"), "root"), "s1")
+    # The row that carries a set's bits may be one without an id.
+    nodes = nodes.groupBy("s1", "s2", "n", "root").agg(F.min("doc_id").alias("id"), F.max("bits").alias("bits"))
+    nodes = stage(nodes.where("id is not null"), "chained-sets")
 
     def thin(group: pd.DataFrame) -> pd.DataFrame:
         forest = []

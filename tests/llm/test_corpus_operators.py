@@ -118,6 +118,14 @@ def test_jaccard_awkward(spark):
     assert ngram_join.jaccard_components(empty_docs(spark)).count() == 0
 
 
+def test_jaccard_set_first_met_without_an_id(spark):
+    base = [f"w{i}" for i in range(60)]
+    text, near = " ".join(base), " ".join([*base[:-1], "other"])
+    rows = [(None, text), (7, text), (3, near), (None, near + " x"), (9, "quite another text of six words")]
+    got = rows_of(ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)))
+    assert got == [(None, 58, 3), (None, 59, None), (3, 58, 3), (7, 58, 3), (9, 4, 9)]
+
+
 def test_sketch_counts_every_row(spark):
     texts = near_copies()
     docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(70)
