@@ -82,7 +82,7 @@ def op8_temperature_mixing(spark, sf_dir):
 
 @query("op9_edit_embedding")
 def op9_edit_embedding(spark, sf_dir):
-    return edit_embedding.with_edited(table(spark, sf_dir, "documents"))
+    return edit_embedding.with_classes(table(spark, sf_dir, "documents"))
 
 
 @query("op10_ngram_join")

@@ -206,3 +206,29 @@ def test_near_copies(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in edit_embedding.near_copies(docs).collect()}
     assert len(got) == 48 and sum(got[i] == i - i % 4 for i in got) >= 46 and all(c % 4 == 0 or got[i] == i for i, c in got.items())
+
+
+def test_classes_of_near_copies_are_in_the_rows(spark):
+    """Also those of short texts, and of copies that are no neighbours."""
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    bases = [word(28) for _ in range(10)] + [word(1500) for _ in range(10)]
+    rows = [(i, b) for i, b in enumerate(bases)] + [(100 + i, b[:-1] + "Z") for i, b in enumerate(bases)] + [(200, ""), (201, None), (None, bases[0])]
+    rows += [(5, bases[15]), (50, "an id used twice"), (50, bases[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = edit_embedding.with_classes(docs).collect()
+    assert len(got) == len(rows) and [r.class_id for r in got if r.doc_id is None] == [None]
+    assert sum(r.class_id == r.doc_id - 100 for r in got if r.doc_id is not None and 100 <= r.doc_id < 200 and r.doc_id != 115) >= 17
+    assert {r.class_id for r in got if r.doc_id in (200, 201)} == {200}
+    assert sorted(r.class_id for r in got if r.doc_id == 50) == [3, 50] and sorted(r.class_id for r in got if r.doc_id == 5) == [5, 5]
+    assert edit_embedding.with_classes(empty_docs(spark)).count() == edit_embedding.near_copies(empty_docs(spark)).count() == 0
+
+
+def test_pairs_alike_are_those_of_the_likeness():
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(600))
+    texts = ["", "a", "ab"] + [base[: rng.randint(1, 600)] for _ in range(20)] + ["".join(c if rng.random() > 0.02 else "x" for c in base) for _ in range(20)]
+    prints = edit_embedding.fingerprints(texts)
+    want = {frozenset((i, j)) for i in range(len(texts)) for j in range(i) if prints[i].likeness(prints[j]) >= 0.8}
+    assert {frozenset(p) for p in edit_embedding.alike(prints, 0.8).tolist()} == want
+    assert all(10 * min(prints[i].ticks, prints[j].ticks) >= 6 * max(prints[i].ticks, prints[j].ticks) for i, j in map(tuple, want))
