@@ -5,7 +5,19 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from caseloom.llm import bloom_cascade, byte_cnn, chunk_table, count_viterbi, edit_embedding, ngram_join, permutation_index, pii_bootstrap, range_coder, temperature_mixing
+from caseloom.llm import (
+    bloom_cascade,
+    byte_cnn,
+    chunk_table,
+    count_viterbi,
+    edit_embedding,
+    ngram_join,
+    permutation_index,
+    pii_bootstrap,
+    prefix_trie,
+    range_coder,
+    temperature_mixing,
+)
 from caseloom.llm.common import table
 from caseloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -36,6 +48,40 @@ select page_id, host, path,
 from parts
 """
 
+# DuckDB has no CRC-32; bit by bit over the ids' decimal digits.
+OP11_SQL = """
+with t as (
+  select conv_id as c, turn, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) as d, length(coalesce(text, '')) as n
+  from conversations where conv_id is not null),
+o as (select c, d, n, row_number() over (partition by c order by turn nulls first, d) as pos from t),
+k as (
+  select c, c - c % 100 as f, xor(list_reduce([4294967295::bigint] || list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint),
+    lambda s, b: list_reduce([xor(s, b)] || range(8), lambda a, j: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295) % 6 as h
+  from (select distinct c from t)),
+e as (select f, count(*) as lent from k join o using (c) where c = f and pos <= 5 group by f),
+r as (
+  select k.c, o.pos as i, o.d, o.n from k join o on o.c = k.f and o.pos <= k.h
+  union all
+  select k.c, o.pos - k.h + least(k.h, coalesce(e.lent, 0)), o.d, o.n from k join o on o.c = k.c and o.pos > k.h left join e on e.f = k.f),
+p as (
+  select c, i as depth, n, string_agg(d, ',') over w as key, coalesce(string_agg(d, ',') over (partition by c order by i rows between unbounded preceding and 1 preceding), '') as above
+  from r window w as (partition by c order by i rows between unbounded preceding and current row)
+  union all select c, 0, 0, '', null from k),
+l as (select c, max(depth) as len from p group by c),
+v as (
+  select key, min(c) as conv_id, min(depth) as depth, count(*) as n_convs, max(n) as n, min(above) as above,
+    string_agg(c::varchar, ',' order by c) filter (where depth = len) as ends
+  from p join l using (c) group by key),
+q as (select above, count(*) as kids from v where depth > 0 group by above),
+u as (select v.*, coalesce(kids, 0) as kids from v left join q on q.above = v.key),
+s as (
+  select a.key, sum((u.kids = 0)::int) as leaves, sum((u.n_convs - 1) * u.n) as saved
+  from u join p as a on a.c = u.conv_id and a.depth <= u.depth group by a.key)
+select u.conv_id, u.depth, b.conv_id as parent_conv_id, u.n_convs, u.kids as n_children, s.leaves::bigint as n_leaves,
+  s.saved::bigint as saved_tokens, sha256(coalesce(u.ends, '')) as ends_sha256
+from u join s using (key) left join u as b on b.key = u.above
+"""
+
 
 @query("op1_permutation_index")
 def op1_permutation_index(spark, sf_dir):
@@ -90,4 +136,9 @@ def op10_ngram_join(spark, sf_dir):
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+@query("op11_prefix_trie", OP11_SQL)
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
