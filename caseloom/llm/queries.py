@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from caseloom.llm import (
+    attention_lm,
     bloom_cascade,
     byte_cnn,
     chunk_table,
@@ -17,11 +18,13 @@ from caseloom.llm import (
     prefix_trie,
     range_coder,
     temperature_mixing,
+    token_alignment,
 )
 from caseloom.llm.common import table
 from caseloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 #: Fixed rules of the URL query: action, host, path.
@@ -141,4 +144,14 @@ def op11_prefix_trie(spark, sf_dir):
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+@query("op12_token_alignment")
+def op12_token_alignment(spark, sf_dir, a_file=BYTE_TOKENIZER, b_file=PIECE_MODEL):
+    return token_alignment.align(table(spark, sf_dir, "documents"), a_file, b_file)
+
+
+@query("op13_attention_lm")
+def op13_attention_lm(spark, sf_dir, model_file=PIECE_MODEL):
+    return attention_lm.log_probability(table(spark, sf_dir, "documents"), model_file)
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
