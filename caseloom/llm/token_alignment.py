@@ -27,6 +27,7 @@ columns of the input, whatever their names, stay outside; an empty table gives n
 
 import functools
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -45,7 +46,7 @@ from caseloom.sources.tables import stage
 
 BUCKETS, FAN_IN, CELLS = 256, 64, 1 << 16
 SHARD = 8_000_000  # Pairs whose hash, keys and counts are broadcast together: 17 bytes each.
-HELD = 4_000_000  # Distinct pairs that a task holds before it passes them on.
+HELD = 2_000_000  # Distinct pairs that a task holds before it passes them on.
 LINKS = 2_000_000  # Links expanded at a time.
 SPACING = 1.5  # Bits of a level for each of its keys.
 
@@ -58,7 +59,11 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Aligner:
-    """Ids of whole texts under both tokenizers, with the groups' text form, from a bounded table of runs."""
+    """Ids of whole texts under both tokenizers, from a bounded table of runs."""
+
+    #: White space before a space, or a space in front: there a run goes on.
+    JOINED = re.compile(r"\s |^ ")
+    AT_ONCE = 10_000  # New runs that the libraries are given at a time.
 
     def __init__(self, a_file: str, b_file: str, limit: int = 400_000, longest: int = 64):
         self.a = Tokenizer.from_file(a_file)
@@ -70,12 +75,24 @@ class Aligner:
         pieces = [(i, b.id_to_piece(i)) for i in range(b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in pieces]
         self.a_length, self.b_length = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
-        self.known: dict[str, tuple[bytes, bytes, bytes] | None] = {}
-
-    @staticmethod
-    def runs(text: str) -> list[str]:
+        most = max(len(self.a_bytes), len(self.b_bytes))
+        if most > 1 << 31:
+            raise ValueError("ids of these vocabularies do not fit")
+        self.kind = "<u2" if most <= 1 << 16 else "<u4"
+        # An id's decimal digits with what follows: another id of its side, or what closes its side.
+        self.a_text, self.b_text = (
+            (np.array([f"{i},".encode() for i in range(n)], object), np.array([f"{i}{close}".encode() for i in range(n)], object))
+            for n, close in ((len(self.a_bytes), "|"), (len(self.b_bytes), ";"))
+        )
+        self.known: dict[str, bytes | None] = {}
+
+    @classmethod
+    def runs(cls, text: str) -> list[str]:
         """The runs of a space and the text, each without its first space; after white space none begins."""
-        words, out = text.split(" "), []
+        words = text.split(" ")
+        if not cls.JOINED.search(text):
+            return words
+        out = []
         for word in words:
             if out and (not out[-1] or out[-1][-1].isspace()):
                 out[-1] += " " + word
@@ -83,46 +100,66 @@ class Aligner:
                 out.append(word)
         return out
 
-    def groups(self, a: list[int], b: list[int]) -> bytes:
-        """``a1,a2|b1;a3|b2,b3`` for ids that cover the same bytes."""
-        out, i, j = [], 0, 0
-        while i < len(a):
-            i0, j0, x, y = i, j, self.a_length[a[i]], self.b_length[b[j]]
-            while x != y:
-                if x < y:
-                    i += 1
-                    x += self.a_length[a[i]]
-                else:
-                    j += 1
-                    y += self.b_length[b[j]]
-            i, j = i + 1, j + 1
-            out.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-        return ";".join(out).encode()
-
-    def _new(self, words: list[str]) -> Iterator[tuple[str, tuple[bytes, bytes, bytes] | None]]:
-        a_ids = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
-        for word, a, code in zip(words, a_ids, self.codec._segment(words)):
-            b = np.frombuffer(code, "<u4").tolist()
-            raw = b" " + word.encode()
-            same = b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b])
-            yield word, (np.array(a, "<u4").tobytes(), code, self.groups(a, b)) if same else None
-
-    def encode(self, batch: list[str]) -> list[tuple[bytes, bytes, bytes] | None]:
-        """For each text its ids under A and under B (little-endian unsigned 32-bit) and its groups; None without tokens."""
+    def _new(self, words: list[str]) -> list[bytes | None]:
+        """A's ids, then B's with the top bit set; None where they do not give back the run."""
+        raw = [b" " + w.encode() for w in words]
+        a = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
+        b = self.codec._segment(words)
+        flat = np.fromiter((i for ids in a for i in ids), "<u4")
+        marked = (np.frombuffer(b"".join(b), "<u4") | np.uint32(1 << 31)).tobytes()
+        a_code, out, i, j = flat.tobytes(), [], 0, 0
+        for ids, code in zip(a, b):
+            out.append(a_code[i : i + 4 * len(ids)] + marked[j : j + len(code)])
+            i, j = i + 4 * len(ids), j + len(code)
+        whole = b"".join(raw)
+        if b"".join([self.a_bytes[i] for i in flat.tolist()]) != whole or b"".join([self.b_bytes[i] for i in np.frombuffer(b"".join(b), "<u4").tolist()]) != whole:
+            for at, (ids, code, run) in enumerate(zip(a, b, raw)):
+                if b"".join([self.a_bytes[i] for i in ids]) != run or b"".join([self.b_bytes[i] for i in np.frombuffer(code, "<u4").tolist()]) != run:
+                    out[at] = None
+        return out
+
+    def encode(self, batch: list[str]) -> "Groups":
+        """The groups of whole texts."""
         split = [self.runs(t) if t and MARK not in t else [] for t in batch]
         if len(self.known) > self.limit:
             self.known = {}
         known, extra = self.known, {}
-        for word, found in self._new(list(set().union(*split).difference(known))):
-            (known if len(word) <= self.longest else extra)[word] = found
-        out = []
+        new = list(set().union(*split).difference(known))
+        for i in range(0, len(new), self.AT_ONCE):
+            part = new[i : i + self.AT_ONCE]
+            for word, code in zip(part, self._new(part)):
+                (known if len(word) <= self.longest else extra)[word] = code
+        look = (lambda w: extra[w] if w in extra else known[w]) if extra else known.__getitem__
+        codes = []
         for words in split:
-            found = [extra[w] if w in extra else known[w] for w in words] if extra else [known[w] for w in words]
-            if not found or None in found:
-                out.append(None)
-                continue
-            a, b, text = zip(*found)
-            out.append((b"".join(a), b"".join(b), b";".join(text)))
+            try:
+                codes.append(b"".join(map(look, words)))
+            except TypeError:  # A run without tokens.
+                codes.append(b"")
+        flat = np.frombuffer(b"".join(codes), "<u4")
+        second = flat >> np.uint32(31) == 1
+        ends = np.cumsum([len(c) // 4 for c in codes], dtype=np.int64)
+        n_b = np.diff(np.append(0, np.cumsum(second))[ends], prepend=0)
+        n_a = np.diff(ends, prepend=0) - n_b
+        return Groups(flat[~second].astype(np.int64), (flat[second] & np.uint32((1 << 31) - 1)).astype(np.int64), n_a, n_b, self.a_length, self.b_length)
+
+    def digests(self, groups: "Groups") -> list[str]:
+        """SHA-256 of ``a1,a2|b1;a3|b2,b3`` for each document; empty without tokens."""
+        texts_ = np.empty(len(groups.a) + len(groups.b), object)
+        for ids, starts, table, side in ((groups.a, groups.a_start, self.a_text, 0), (groups.b, groups.b_start, self.b_text, 1)):
+            last = np.zeros(len(ids), bool)
+            last[starts[1:] - 1] = True
+            # A group's ids of A stand before its ids of B.
+            size = np.diff(starts)
+            other = groups.b_start[:-1] if side == 0 else groups.a_start[1:]
+            place = np.arange(len(ids)) + np.repeat(other, size)
+            texts_[place] = np.where(last, table[1][ids], table[0][ids])
+        ends = np.cumsum(groups.docs_a + groups.docs_b)
+        found, start = texts_.tolist(), 0
+        out = []
+        for end in ends.tolist():
+            out.append(hashlib.sha256(b"".join(found[start:end])[:-1]).hexdigest() if end > start else "")
+            start = end
         return out
 
 
@@ -132,11 +169,11 @@ def aligner(a_file: str, b_file: str) -> Aligner:
 
 
 class Groups:
-    """The groups of several documents' ids, laid end to end."""
+    """The groups of several documents' ids ``a`` and ``b``, laid end to end; ``docs_a`` and ``docs_b`` are the documents' shares."""
 
-    def __init__(self, a: list[bytes], b: list[bytes], a_length: np.ndarray, b_length: np.ndarray):
-        self.a, self.b = (np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in (a, b))
-        a_end, b_end = np.cumsum(a_length[self.a]), np.cumsum(b_length[self.b])
+    def __init__(self, a: np.ndarray, b: np.ndarray, docs_a: np.ndarray, docs_b: np.ndarray, a_length: np.ndarray, b_length: np.ndarray):
+        self.a, self.b, self.docs_a, self.docs_b = a, b, docs_a, docs_b
+        a_end, b_end = np.cumsum(a_length[a]), np.cumsum(b_length[b])
         ends = np.zeros((a_end[-1] if len(a_end) else 0) + 1, bool)
         ends[a_end] = True
         last = np.flatnonzero(ends[b_end])
@@ -144,9 +181,9 @@ class Groups:
         self.a_start = np.append(0, np.searchsorted(a_end, b_end[last]) + 1)
         self.n_a, self.n_b = np.diff(self.a_start), np.diff(self.b_start)
         # The document of each group, by where the documents' own ids end.
-        closing = np.searchsorted(self.a_start, np.cumsum([len(x) // 4 for x in a]))
+        closing = np.searchsorted(self.a_start, np.cumsum(docs_a))
         self.per_doc = np.diff(closing, prepend=0)
-        self.doc = np.repeat(np.arange(len(a)), self.per_doc)
+        self.doc = np.repeat(np.arange(len(docs_a)), self.per_doc)
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Sums over each document's groups."""
@@ -264,6 +301,20 @@ def _bytes_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return batch.column(name).to_pylist()
 
 
+def _cut(ids: np.ndarray, sizes: np.ndarray, kind: str) -> list[bytes]:
+    """Each document's ids as bytes."""
+    raw, width = ids.astype(kind).tobytes(), np.dtype(kind).itemsize
+    ends = (np.cumsum(sizes) * width).tolist()
+    return [raw[e - n * width : e] for e, n in zip(ends, sizes.tolist())]
+
+
+def _joined(batch: pa.RecordBatch, name: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all documents, and how many each has."""
+    found = _bytes_column(batch, name)
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(found), kind).astype(np.int64), np.array([len(x) // width for x in found], np.int64)
+
+
 def encode(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     """Rows of documents (``row``, digest columns, ids ``a`` and ``b``), and of pairs (``bucket``, ``keys``), written."""
     names = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b", "bucket", "keys"]
@@ -285,19 +336,17 @@ def encode(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(columns.get(n, [None] * len(used)), k) for n, k in zip(names, kinds)], names)
 
         for whole in batches:
-            for part in small_batches(whole, "text", 4_000_000):
-                found = [f or (b"", b"", None) for f in work.encode(part.column("text").to_pylist())]
-                a, b, text = zip(*found)
-                groups = Groups(a, b, work.a_length, work.b_length)
+            for part in small_batches(whole, "text", 1_000_000):
+                groups = work.encode(part.column("text").to_pylist())
                 keys, _ = groups.links(pairs, width)
                 held.append(np.unique(keys % pairs))
                 size += len(held[-1])
                 columns = [
-                    range(row, row + len(a)), part.column("doc_id"), [len(x) // 4 for x in a], [len(x) // 4 for x in b],
-                    groups.per_doc, groups.sums(groups.n_a * groups.n_b),
-                    ["" if t is None else hashlib.sha256(t).hexdigest() for t in text], a, b, [None] * len(a), [None] * len(a),
+                    range(row, row + part.num_rows), part.column("doc_id"), groups.docs_a, groups.docs_b,
+                    groups.per_doc, groups.sums(groups.n_a * groups.n_b), work.digests(groups),
+                    _cut(groups.a, groups.docs_a, work.kind), _cut(groups.b, groups.docs_b, work.kind), [None] * part.num_rows, [None] * part.num_rows,
                 ]
-                row += len(a)
+                row += part.num_rows
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)], names)
                 if size > HELD:
                     held = [np.unique(np.concatenate(held))]
@@ -360,7 +409,8 @@ def pair_hash(sets: DataFrame, width: int) -> tuple[PairHash, np.ndarray]:
 def _realigned(batch: pa.RecordBatch, work: Aligner, table: PairHash) -> tuple[Groups, np.ndarray, np.ndarray, np.ndarray]:
     """Documents, pairs and times of the links of a batch whose pairs are in the table's buckets."""
     width, pairs = len(work.b_bytes), len(work.a_bytes) * len(work.b_bytes)
-    groups = Groups(_bytes_column(batch, "a"), _bytes_column(batch, "b"), work.a_length, work.b_length)
+    (a, docs_a), (b, docs_b) = (_joined(batch, name, work.kind) for name in ("a", "b"))
+    groups = Groups(a, b, docs_a, docs_b, work.a_length, work.b_length)
     keys, times = groups.links(pairs, width)
     doc, keys = np.divmod(keys, pairs)
     if not table.mine.all():
@@ -377,7 +427,7 @@ def document_counts(encoded: DataFrame, shared, a_file: str, b_file: str) -> np.
         work, (table, stored) = aligner(a_file, b_file), shared.value
         total = np.zeros(table.n, np.uint32)
         for whole in batches:
-            for part in small_batches(whole, "a", 4_000_000):
+            for part in small_batches(whole, "a", 1_000_000):
                 keys, times = np.unique(_realigned(part, work, table)[2], return_counts=True)
                 total[table.verified(keys, stored)] += times.astype(np.uint32)
         parts = [total[i : i + CELLS] for i in range(0, table.n, CELLS)]
@@ -409,7 +459,7 @@ def looked_up(encoded: DataFrame, shared, a_file: str, b_file: str) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, (table, stored, counts, best) = aligner(a_file, b_file), shared.value
         for whole in batches:
-            for part in small_batches(whole, "a", 4_000_000):
+            for part in small_batches(whole, "a", 1_000_000):
                 _, doc, keys, times = _realigned(part, work, table)
                 at = table.verified(keys, stored)
                 sums = np.zeros((2, part.num_rows), np.int64)

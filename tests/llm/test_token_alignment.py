@@ -89,8 +89,10 @@ def test_wide_groups(monkeypatch):
         while total:
             b.append(int(rng.choice([i for i in range(3) if b_length[i] <= total])))
             total -= b_length[b[-1]]
-        docs.append((a.astype("<u4").tobytes(), np.array(b, "<u4").tobytes()))
-    whole = ta.Groups(*zip(*docs), a_length, b_length)
+        docs.append((a, np.array(b, np.int64)))
+    one, two = zip(*docs)
+    sizes = [np.array([len(x) for x in side]) for side in (one, two)]
+    whole = ta.Groups(np.concatenate(one), np.concatenate(two), *sizes, a_length, b_length)
     want = whole.links(9, 3)
     plain = Counter()
     for g in range(len(whole.doc)):
