@@ -1,16 +1,15 @@
 """Ranking products or earlier cases against a text by shared words.
 
-A target meets every candidate of its scope; only the wanted number of results cuts. Both
-sides are dealt into blocks of bounded size by key, so a scope or a word that a third of
-all rows share is spread, and a task holds one block of targets and one of candidates. It
-counts shared words in an inverted list of the candidate block and returns the best few
-of each target, never the pairs; the best over all blocks are then taken by target.
+A target meets every candidate of its scope; only the wanted number of results cuts. The
+candidates' words are postings, ``(scope, word, key, recency)``, read for the words that
+targets ask for; ``best_by_bounds`` walks a target's words from rare to frequent and stops as
+soon as no candidate it has not met can be among the best. So words that most candidates
+hold are hardly ever walked. Postings come from a pool of candidates or are kept as an
+index beside the cases (``caseloom/operators/case_index.py``).
 
 Products keep the job's own rule: only the newest 250 of a category are candidates.
 """
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,12 +17,13 @@ from pyspark.sql.window import Window
 from caseloom.functions.records import product_line
 from caseloom.functions.text import case_search_text, product_search_text, recommendation_text, slug, tokens
 from caseloom.operators.catalog import catalog_columns
-from caseloom.operators.keyed import newest_per_group
+from caseloom.operators.keyed import newest_per_group, union_all
+from caseloom.sources.tables import stage
 
 # Product candidates per category, and results per target.
 CANDIDATES, BEST = 250, 5
-# Rows of a block on either side.
-BLOCK = 2048
+# Postings that a target's first walk may read for each wanted result, and how much more each further one.
+FIRST_WALK, WIDER = 64, 8
 
 
 def candidate_pool(
@@ -43,35 +43,79 @@ def candidate_pool(
     )
 
 
-def best_shared(targets: pd.DataFrame, pool: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The ``k`` candidates of one block that share most words with each target of another."""
-    columns = ["target_id", "key", "recency", "score"]
-    if not len(targets) or not len(pool):
-        return pd.DataFrame(columns=columns)
-    pool = pool.sort_values(["recency", "key"], ascending=[False, True], ignore_index=True)
-    sizes = [0 if w is None else len(w) for w in pool["words"]]
-    flat = np.concatenate([w for w, n in zip(pool["words"], sizes) if n] or [np.empty(0, object)])
-    codes, vocabulary = pd.factorize(flat)
-    order = np.argsort(codes, kind="stable")
-    holders = np.repeat(np.arange(len(pool)), sizes)[order]
-    starts = np.searchsorted(codes[order], np.arange(len(vocabulary) + 1))
-    index = pd.Index(vocabulary)
-    found = []
-    for target_id, words in zip(targets["target_id"], targets["words"]):
-        known = index.get_indexer(words) if words is not None and len(words) else np.empty(0, int)
-        lists = [holders[starts[w] : starts[w + 1]] for w in known[known >= 0]]
-        if lists:
-            score = np.bincount(np.concatenate(lists), minlength=len(pool))
-            # Places are in order of recency and key, so the smaller one wins a tie.
-            value = score * len(pool) - np.arange(len(pool))
-            top = np.argpartition(-value, min(k, len(pool)) - 1)[:k]
-            top = top[score[top] > 0]
-            found += [(target_id, i, score[i]) for i in top.tolist()]
-    if not found:
-        return pd.DataFrame(columns=columns)
-    ids, places, scores = zip(*found)
-    kept = pool.iloc[list(places)]
-    return pd.DataFrame({"target_id": ids, "key": kept["key"].to_numpy(), "recency": kept["recency"].to_numpy(), "score": scores})
+def pool_postings(pool: DataFrame) -> DataFrame:
+    """``(scope, word, key, recency)`` of a ``candidate_pool``, whose keys are unique."""
+    return pool.select("scope", F.explode("words").alias("word"), "key", "recency")
+
+
+def _target_words(sets: DataFrame, postings: DataFrame) -> DataFrame:
+    """Each set's words that the postings hold, numbered from rare to frequent: ``place`` of ``n``.
+
+    ``before`` counts the postings of the places before.
+    """
+    held = postings.groupBy("scope", "word").agg(F.count(F.lit(1)).alias("held"))
+    asked = sets.select("set_id", "scope", F.explode("words").alias("word")).join(held, ["scope", "word"])
+    order = Window.partitionBy("set_id").orderBy("held", "word")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    return asked.select(
+        "set_id", "scope", "word", F.row_number().over(order).alias("place"),
+        F.count(F.lit(1)).over(Window.partitionBy("set_id")).alias("n"),
+        F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before"),
+    )
+
+
+def best_by_bounds(targets: DataFrame, postings: DataFrame, k: int = BEST, first_walk: int = FIRST_WALK) -> DataFrame:
+    """``(target_id, position, key, score)``: the ``k`` candidates sharing most words with each target.
+
+    Exact. A target of n known words whose k-th best candidate shares at least s of them
+    needs only its n - s + 1 rarest words: whoever holds none of these shares less than s. The
+    counts over a walked prefix give a lower bound of s, which shortens what has to be
+    walked; walks grow ``WIDER``-fold for targets that are not settled. Of the most frequent word
+    of a target only the newest ``k`` holders count: whoever holds that word alone scores 1
+    and has to be among them. Candidates that the bounds leave are verified on whole
+    word lists. Equal word sets of a scope are ranked once, however many targets ask.
+    """
+    words = targets.filter(F.size("words") > 0).select("target_id", "scope", F.sort_array(F.array_distinct("words")).alias("words"))
+    sets = stage(words.select("scope", "words").distinct().withColumn("set_id", F.monotonically_increasing_id()), "target-sets")
+    vocabulary = sets.select("scope", F.explode("words").alias("word")).distinct()
+    met = stage(postings.join(vocabulary, ["scope", "word"], "left_semi").select("scope", "word", "key", "recency"), "postings")
+    asked = stage(_target_words(sets, met), "target-words")
+    last = asked.filter("place = n").select("scope", "word").distinct()
+    newest = Window.partitionBy("scope", "word").orderBy(F.desc("recency"), "key")
+    champions = met.join(last, ["scope", "word"], "left_semi").withColumn("_place", F.row_number().over(newest))
+    champions = champions.filter(F.col("_place") <= k).drop("_place")
+
+    live = asked.filter("place = 1").select("set_id", F.lit(0).cast("bigint").alias("least"))
+    walk, left = k * first_walk, []
+    while True:
+        taken = asked.join(live, "set_id").filter(
+            (F.col("place") <= F.col("n") - F.col("least") + 1) & ((F.col("before") < walk) | (F.col("place") == 1))
+        )
+        reached = taken.filter("place < n").join(met, ["scope", "word"])
+        reached = reached.unionByName(taken.filter("place = n").join(champions, ["scope", "word"]))
+        hits = stage(reached.groupBy("set_id", "key", "recency").agg(F.count(F.lit(1)).alias("shared")), "hits")
+        rank = F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("shared")))
+        kth = hits.withColumn("_rank", rank).filter(F.col("_rank") <= k).filter(F.col("_rank") == k)
+        walked = taken.groupBy("set_id", "n", "least").agg(F.max("place").alias("reached"))
+        least = F.greatest("least", F.coalesce("shared", F.lit(0)))
+        state = walked.join(kth.select("set_id", "shared"), "set_id", "left").select("set_id", "n", "reached", least.alias("least"))
+        state = stage(state.withColumn("settled", F.expr("reached >= least(n, n - least + 1)")), "bounds")
+        close = hits.join(state.filter("settled"), "set_id").filter("shared + n - least(reached, n - 1) >= greatest(least, 1)")
+        left.append(close.select("set_id", "key", "recency"))
+        live = state.filter("not settled").select("set_id", "least")
+        if live.isEmpty():
+            break
+        walk *= WIDER
+
+    pairs = union_all(left).join(sets, "set_id")
+    wanted = union_all(left).select("key").distinct()
+    held = met.join(wanted, "key", "left_semi").groupBy("scope", "key").agg(F.collect_list("word").alias("_held"))
+    scored = pairs.join(held, ["scope", "key"]).withColumn("score", F.size(F.array_intersect("words", "_held")).cast("bigint"))
+    place = F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("score"), F.desc("recency"), "key"))
+    best = scored.withColumn("position", place.cast("bigint")).filter(F.col("position") <= k)
+    return words.join(best.select("scope", "words", "position", "key", "score"), ["scope", "words"]).select(
+        "target_id", "position", "key", "score"
+    )
 
 
 def token_overlap(targets: DataFrame, pool: DataFrame, k: int = BEST) -> DataFrame:
@@ -80,29 +124,7 @@ def token_overlap(targets: DataFrame, pool: DataFrame, k: int = BEST) -> DataFra
     ``targets`` are ``(target_id, scope, words)``, ``pool`` is a ``candidate_pool``. Equal
     scores go to the newer candidate, then to the smaller key.
     """
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias(name))
-
-    counts = blocks(targets, "_targets").join(blocks(pool, "_pool"), "scope")
-
-    def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
-        """Each row in its own block, once for every block of the other side."""
-        own_block = F.pmod(F.xxhash64(key), F.col(own)).cast("int").alias(f"{own}_block")
-        others = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"{other}_block")
-        kept = [c for c in ("target_id", "key", "recency", "words") if c in df.columns]
-        return df.join(counts, "scope").select("scope", *kept, own_block, others)
-
-    meeting = ["scope", "_targets_block", "_pool_block"]
-    id_type, key_type = targets.schema["target_id"].dataType.simpleString(), pool.schema["key"].dataType.simpleString()
-    found = (
-        dealt(targets, "target_id", "_targets", "_pool").groupBy(*meeting)
-        .cogroup(dealt(pool, "key", "_pool", "_targets").groupBy(*meeting))
-        .applyInPandas(lambda t, p: best_shared(t, p, k), f"target_id {id_type}, key {key_type}, recency bigint, score bigint")
-    )
-    place = F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("score"), F.desc("recency"), "key"))
-    return found.withColumn("position", place.cast("bigint")).filter(F.col("position") <= k).select(
-        "target_id", "position", "key", "score"
-    )
+    return best_by_bounds(targets, pool_postings(pool), k)
 
 
 def top_k(scored: DataFrame, k: int = BEST) -> DataFrame:

@@ -84,7 +84,7 @@ select p.p_partkey, p.p_type as app_category, p.p_name as product_name,
     || cast(p.p_partkey as string) || '.html' as product_url,
   'RM ' || cast(cast(floor(p.p_retailprice) as int) as string) || '.00' as price_text,
   p.p_partkey % 9 <> 0 as is_active, p.p_size, o.o_orderdate as last_synced_at
-from part p join orders o on o.o_orderkey = p.p_partkey""",
+from part p left join orders o on o.o_orderkey = p.p_partkey""",
     "fx_product_pages": """
 select p_partkey, product_url, app_category,
   '<html><head><meta name="description" content="' || product_name
@@ -163,7 +163,7 @@ from benchmark""",
 select d.doc_id, d.lang as category, d.text as product_name,
   case when d.source = 'src3' then '' else d.text end as searchable_text, d.source <> 'src7' as is_active,
   e.ts as last_synced_at
-from documents d join events e on e.event_id = d.doc_id""",
+from documents d left join events e on e.event_id = d.doc_id""",
     "fx_link_pages": """
 select page_id, case page_id % 3 when 0 then '<a class="x product-item-link y" title="t" href="/store/p'
     || cast(page_id as string) || '.html?x=1#y">P</a>'

@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from caseloom import schemas
 from caseloom.functions.text import slug, tokens
+from caseloom.operators import case_index as I
+from caseloom.operators import cases as K
 from caseloom.operators import match as M
-from caseloom.sources.tables import conform
+from caseloom.sources.tables import conform, new_path, stage
 from caseloom.workload import duck as D
 from caseloom.workload import fixtures as fx
 from caseloom.workload.registry import query
@@ -77,14 +79,58 @@ targets as (select cast(conv_id as string) || '/' || cast(turn as string) as tar
 {_scored('targets', 'pool')}
 select target_id, position, key as case_number, score from ranked where position <= 5"""))
 def similar_cases(spark, sf_dir):
+    return M.similar_cases(case_targets(spark, sf_dir), searched(*fx.case_tables(spark, sf_dir)))
+
+
+def case_targets(spark, sf_dir):
+    """Every turn of a conversation asks for earlier cases."""
     turn = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     asked = requests(spark, sf_dir).withColumn("target", turn)
     category = F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string"))
-    targets = M.request_words(asked, "target", slug(category))
-    good, bad = fx.case_tables(spark, sf_dir)
+    return M.request_words(asked, "target", slug(category))
+
+
+def searched(good, bad):
+    """What of the cases is searched; eligibility by the stored status of the fixture's rows."""
     eligible = F.col("case_status").isin(schemas.VERIFIED_GOOD, schemas.VERIFIED_CORRECTED)
-    cases = good.unionByName(bad).select(
+    return good.unionByName(bad).select(
         F.col("category_slug").alias("scope"), "case_number", F.coalesce("updated_at", "created_at").alias("updated_at"),
         F.col("user_comment").alias("search_text"), eligible.alias("learning_eligible"),
     )
-    return M.similar_cases(targets, cases)
+
+
+@query("similar_cases_indexed", fx.oracle(f"""
+with saved as (select case_number, coalesce(nullif(category, ''), 'Other') as cat, user_comment, case_status from fx_saves where save_no = 2),
+judged as (select case_number, trim(case_status) as verdict, review_no from fx_reviews
+  where trim(case_status) in ('Verified - Good', 'Verified - Corrected', 'Verified - Rejected', 'Archived')
+    and not (trim(case_status) = 'Verified - Corrected' and trim(corrected_recommendation) = '')),
+last as (select case_number, arg_max(verdict, review_no) as verdict from judged group by case_number),
+cases as (
+  select c.case_number, c.category, c.user_comment, c.case_status, coalesce(c.updated_at, c.created_at) as moment
+  from fx_cases c where c.case_number not in (select case_number from saved)
+  union all select case_number, {D.slug('cat')}, user_comment, case_status, timestamp '{fx.NOW}' from saved),
+pool as (select c.case_number as key, c.category as scope, c.user_comment as text,
+    case when l.case_number is not null then timestamp '{fx.NOW}' else c.moment end as recency
+  from cases c left join last l on l.case_number = c.case_number
+  where coalesce(l.verdict, c.case_status) in ('Verified - Good', 'Verified - Corrected')),
+targets as (select cast(conv_id as string) || '/' || cast(turn as string) as target_id,
+  'src' || cast(conv_id % 20 as string) as scope, role || ' seen ' || text as text from conversations),
+{_scored('targets', 'pool')}
+select target_id, position, key as case_number, score from ranked where position <= 5"""))
+def similar_cases_indexed(spark, sf_dir):
+    """An index of all cases, kept up through a batch of saves that moves cases and a batch of reviews, then read."""
+    good, bad = fx.case_tables(spark, sf_dir)
+    path = new_path(spark, "case-postings")
+    postings, live = I.index_cases(searched(good, bad), 0)
+    I.add_postings(postings, path)
+    saves = fx.fixture(spark, sf_dir, "fx_saves").filter("save_no = 2")
+    incoming = conform(saves, schemas.T.StructType([*schemas.CASES.fields, saves.schema["save_no"]]))
+    good, bad = K.save_cases(good, bad, incoming, ["save_no"], fx.NOW)
+    postings, live = I.change_index(stage(live, "live-cases"), searched(good, bad), [saves], 1)
+    I.add_postings(postings, path)
+    rows = fx.fixture(spark, sf_dir, "fx_reviews")
+    reviews = rows.withColumn("completed_case", F.lit(None).cast(good.schema["completed_case"].dataType))
+    good, bad, _ = K.apply_reviews(good, bad, reviews, ["review_no"], fx.NOW)
+    postings, live = I.change_index(stage(live, "live-cases"), searched(good, bad), [reviews], 2)
+    I.add_postings(postings, path)
+    return I.similar_by_index(case_targets(spark, sf_dir), I.read_postings(spark, path), stage(live, "live-cases"))

@@ -23,6 +23,7 @@ def sides(spark):
     rng = random.Random(5)
     scopes = ["hot"] * 8 + ["a", "b"]
     targets = [(i, rng.choice(scopes), t) for i, t in enumerate(_texts(rng, 120))] + [(999, "a", "zz"), (998, "none", "the")]
+    targets += [(500 + i, "hot", "the") for i in range(9)] + [(600 + i, "hot", "the word1") for i in range(9)]
     pool = [(f"k{i:03}", rng.choice(scopes), at(rng.randrange(40)), t) for i, t in enumerate(_texts(rng, 90))]
     best = {}
     for tid, scope, text in targets:
@@ -39,14 +40,13 @@ def sides(spark):
     )
 
 
-@pytest.mark.parametrize("block", [M.BLOCK, 7])
-@pytest.mark.parametrize("k", [3, 250])
-def test_overlap(sides, monkeypatch, block, k):
-    """Every target gets its list, over one block or many."""
-    monkeypatch.setattr(M, "BLOCK", block)
+@pytest.mark.parametrize("walk", [M.FIRST_WALK, 1])
+@pytest.mark.parametrize("k", [1, 3, 250])
+def test_overlap(sides, walk, k):
+    """Every target gets its list, in one walk or many."""
     targets, pool, best = sides
     got = {}
-    for r in dicts(M.token_overlap(targets, pool, k), "target_id", "position"):
+    for r in dicts(M.best_by_bounds(targets, M.pool_postings(pool), k, walk), "target_id", "position"):
         got.setdefault(r["target_id"], []).append((r["key"], r["score"]))
     assert got == {tid: ranked[:k] for tid, ranked in best.items() if ranked}
 

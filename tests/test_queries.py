@@ -44,7 +44,7 @@ def test_query(spark, duck, name):
     if name == "save_sync_runs":
         return  # The run's id is a constant, so each stored run is compared with that one row.
     plan = df._jdf.queryExecution().executedPlan().toString()
-    for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
+    for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapCoGroupsInPandas", "FlatMapGroupsInPandas"):
         assert unwanted not in plan
 
 
