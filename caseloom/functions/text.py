@@ -67,19 +67,38 @@ def strip_html(c: Column) -> Column:
     return decode_entities(squash(F.regexp_replace(text(c), "<[^>]+>", " ")))
 
 
+def code_units(c: Column) -> Column:
+    """Length in UTF-16 code units: a character beyond U+FFFF counts twice."""
+    return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("bigint")
+
+
+def cut(c: Column, size: int) -> Column:
+    """The longest prefix of at most ``size`` UTF-16 code units; a character that would be halved goes."""
+    def by_units(prefix: Column) -> Column:
+        units = F.encode(prefix, "UTF-16BE")
+        # The first byte of the last unit that fits tells whether a pair begins there.
+        opens = F.hex(F.substring(units, 2 * size - 1, 1)).between("D8", "DB")
+        kept = F.when(opens, F.substring(units, 1, 2 * size - 2)).otherwise(F.substring(units, 1, 2 * size))
+        astral = prefix.rlike("[\\x{10000}-\\x{10FFFF}]")
+        return F.when(astral, F.decode(kept, "UTF-16BE")).otherwise(prefix)
+
+    # As many characters hold at least as many units, so all else happens on a bounded prefix.
+    return F.element_at(F.transform(F.array(F.left(c, F.lit(size))), by_units), 1)
+
+
 def clean_text(c: Column, size: int = 500) -> Column:
-    return F.left(squash(c), F.lit(size))
+    return cut(squash(c), size)
 
 
 def clean_large_text(c: Column, size: int = 6000) -> Column:
     """Trimmed and cut, inner whitespace kept apart from CRLF becoming LF."""
-    return F.left(js_trim(F.replace(text(c), F.lit("\r\n"), F.lit("\n"))), F.lit(size))
+    return cut(js_trim(F.replace(text(c), F.lit("\r\n"), F.lit("\n"))), size)
 
 
 def clean_path(c: Column, size: int = 500) -> Column:
     """Forward slashes only, no doubled, leading or trailing ones."""
     path = F.regexp_replace(F.replace(text(c), F.lit("\\"), F.lit("/")), "/+", "/")
-    return F.left(js_trim(F.trim(path, F.lit("/"))), F.lit(size))
+    return cut(js_trim(F.trim(path, F.lit("/"))), size)
 
 
 def searchable(c: Column) -> Column:

@@ -2,8 +2,8 @@
 
 A target meets every candidate of its scope; only the wanted number of results cuts. The
 candidates' words are postings, ``(scope, word, key, recency)``, read for the words that
-targets ask for; ``best_by_bounds`` walks a target's words from rare to frequent and stops as
-soon as no candidate it has not met can be among the best. So words that most candidates
+targets ask for. Where these are many, a target's words are walked from rare to frequent
+until no candidate that was not met can be among the best. So words that most candidates
 hold are hardly ever walked. Postings come from a pool of candidates or are kept as an
 index beside the cases (``caseloom/operators/case_index.py``).
 
@@ -22,8 +22,8 @@ from caseloom.sources.tables import stage
 
 # Product candidates per category, and results per target.
 CANDIDATES, BEST = 250, 5
-# Postings that a target's first walk may read for each wanted result, and how much more each further one.
-FIRST_WALK, WIDER = 64, 8
+# Postings that a target's first walk may read, and how much more each further one.
+FIRST_WALK, WIDER = 50_000, 8
 
 
 def candidate_pool(
@@ -45,77 +45,97 @@ def candidate_pool(
 
 def pool_postings(pool: DataFrame) -> DataFrame:
     """``(scope, word, key, recency)`` of a ``candidate_pool``, whose keys are unique."""
-    return pool.select("scope", F.explode("words").alias("word"), "key", "recency")
+    # A plain explode would filter on the size of the words first, which means finding them twice.
+    return pool.select("scope", F.explode_outer("words").alias("word"), "key", "recency")
 
 
-def _target_words(sets: DataFrame, postings: DataFrame) -> DataFrame:
-    """Each set's words that the postings hold, numbered from rare to frequent: ``place`` of ``n``.
+def _target_words(asked: DataFrame, postings: DataFrame) -> DataFrame:
+    """Each target's words that the postings hold, numbered from rare to frequent: ``place`` of ``n``.
 
-    ``before`` counts the postings of the places before.
+    ``walked`` counts the postings up to the place, ``all`` those of all the target's words.
     """
     held = postings.groupBy("scope", "word").agg(F.count(F.lit(1)).alias("held"))
-    asked = sets.select("set_id", "scope", F.explode("words").alias("word")).join(held, ["scope", "word"])
-    order = Window.partitionBy("set_id").orderBy("held", "word")
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    return asked.select(
-        "set_id", "scope", "word", F.row_number().over(order).alias("place"),
-        F.count(F.lit(1)).over(Window.partitionBy("set_id")).alias("n"),
-        F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before"),
+    mine = Window.partitionBy("target_id")
+    order = mine.orderBy("held", "word")
+    return asked.join(held, ["scope", "word"]).select(
+        "target_id", "scope", "word", "held", F.row_number().over(order).alias("place"), F.count(F.lit(1)).over(mine).alias("n"),
+        F.sum("held").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("walked"), F.sum("held").over(mine).alias("all"),
     )
 
 
 def best_by_bounds(targets: DataFrame, postings: DataFrame, k: int = BEST, first_walk: int = FIRST_WALK) -> DataFrame:
     """``(target_id, position, key, score)``: the ``k`` candidates sharing most words with each target.
 
-    Exact. A target of n known words whose k-th best candidate shares at least s of them
-    needs only its n - s + 1 rarest words: whoever holds none of these shares less than s. The
-    counts over a walked prefix give a lower bound of s, which shortens what has to be
-    walked; walks grow ``WIDER``-fold for targets that are not settled. Of the most frequent word
-    of a target only the newest ``k`` holders count: whoever holds that word alone scores 1
-    and has to be among them. Candidates that the bounds leave are verified on whole
-    word lists. Equal word sets of a scope are ranked once, however many targets ask.
+    Exact. A target whose words have at most ``first_walk`` postings is counted in full. Any
+    other is walked by bounds, see ``_bounded``. ``target_id`` is unique; so are the postings.
     """
-    words = targets.filter(F.size("words") > 0).select("target_id", "scope", F.sort_array(F.array_distinct("words")).alias("words"))
-    sets = stage(words.select("scope", "words").distinct().withColumn("set_id", F.monotonically_increasing_id()), "target-sets")
-    vocabulary = sets.select("scope", F.explode("words").alias("word")).distinct()
+    # Written, so that its size is known: a small vocabulary is broadcast and the candidates' words are not shuffled.
+    asked = targets.select("target_id", "scope", F.explode_outer("words").alias("word")).filter("word is not null")
+    asked = stage(asked, "asked-words")
+    vocabulary = asked.select("scope", "word").distinct()
     met = stage(postings.join(vocabulary, ["scope", "word"], "left_semi").select("scope", "word", "key", "recency"), "postings")
-    asked = stage(_target_words(sets, met), "target-words")
-    last = asked.filter("place = n").select("scope", "word").distinct()
+    words = stage(_target_words(asked, met), "target-words")
+    near, far = words.filter(F.col("all") <= first_walk), words.filter(F.col("all") > first_walk)
+    scored = _hits(near, met).select("target_id", "key", "recency", F.col("shared").alias("score"))
+    if not far.isEmpty():
+        scored = scored.unionByName(_bounded(far, met, k, first_walk))
+    place = F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("score"), F.desc("recency"), "key"))
+    return scored.withColumn("position", place.cast("bigint")).filter(F.col("position") <= k).select(
+        "target_id", "position", "key", "score"
+    )
+
+
+def _hits(words: DataFrame, postings: DataFrame) -> DataFrame:
+    """How many of the words each candidate holds."""
+    met = words.select("target_id", "scope", "word").join(postings, ["scope", "word"])
+    return met.groupBy("target_id", "scope", "key", "recency").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def _bounded(words: DataFrame, met: DataFrame, k: int, walk: int) -> DataFrame:
+    """``(target_id, key, recency, score)`` of all candidates that can be among the best ``k``.
+
+    A target of n known words whose k-th best candidate shares at least s of them needs
+    only its n - s + 1 rarest words: whoever holds none of these shares less than s. The
+    counts over a walked prefix give a lower bound of s, which shortens what has to be
+    walked; walks grow ``WIDER``-fold for targets whose last walk would be longer still. Of the
+    most frequent word of a target only the newest ``k`` holders count: whoever holds that word
+    alone scores 1 and has to be among them. What the bounds leave is verified on whole word lists.
+    """
+    last = words.filter("place = n").select("scope", "word").distinct()
     newest = Window.partitionBy("scope", "word").orderBy(F.desc("recency"), "key")
     champions = met.join(last, ["scope", "word"], "left_semi").withColumn("_place", F.row_number().over(newest))
     champions = champions.filter(F.col("_place") <= k).drop("_place")
 
-    live = asked.filter("place = 1").select("set_id", F.lit(0).cast("bigint").alias("least"))
-    walk, left = k * first_walk, []
+    def hits(taken: DataFrame) -> DataFrame:
+        both = _hits(taken.filter("place < n"), met).unionByName(_hits(taken.filter("place = n"), champions))
+        return both.groupBy("target_id", "scope", "key", "recency").agg(F.sum("shared").alias("shared"))
+
+    live, bounds = words, []
     while True:
-        taken = asked.join(live, "set_id").filter(
-            (F.col("place") <= F.col("n") - F.col("least") + 1) & ((F.col("before") < walk) | (F.col("place") == 1))
-        )
-        reached = taken.filter("place < n").join(met, ["scope", "word"])
-        reached = reached.unionByName(taken.filter("place = n").join(champions, ["scope", "word"]))
-        hits = stage(reached.groupBy("set_id", "key", "recency").agg(F.count(F.lit(1)).alias("shared")), "hits")
-        rank = F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("shared")))
-        kth = hits.withColumn("_rank", rank).filter(F.col("_rank") <= k).filter(F.col("_rank") == k)
-        walked = taken.groupBy("set_id", "n", "least").agg(F.max("place").alias("reached"))
-        least = F.greatest("least", F.coalesce("shared", F.lit(0)))
-        state = walked.join(kth.select("set_id", "shared"), "set_id", "left").select("set_id", "n", "reached", least.alias("least"))
-        state = stage(state.withColumn("settled", F.expr("reached >= least(n, n - least + 1)")), "bounds")
-        close = hits.join(state.filter("settled"), "set_id").filter("shared + n - least(reached, n - 1) >= greatest(least, 1)")
-        left.append(close.select("set_id", "key", "recency"))
-        live = state.filter("not settled").select("set_id", "least")
-        if live.isEmpty():
+        # Places that no bound has ruled out, as far as the walk goes.
+        taken = live.filter((F.col("walked") - F.col("held") < walk) | (F.col("place") == 1))
+        rank = F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("shared")))
+        kth = hits(taken).withColumn("_rank", rank).filter(F.col("_rank") <= k).filter(F.col("_rank") == k)
+        bound = stage(kth.select("target_id", F.col("shared").alias("least")), "bounds")
+        bounds.append(bound)
+        needed = live.join(bound, "target_id", "left").filter("place <= n - coalesce(least, 0) + 1").drop("least")
+        # Settled are those whose remaining need is no longer than the next walk.
+        far = needed.filter((F.col("place") < F.col("n")) & (F.col("walked") > walk * WIDER))
+        live = needed.join(far.select("target_id").distinct(), "target_id", "left_semi")
+        if far.isEmpty():
             break
         walk *= WIDER
 
-    pairs = union_all(left).join(sets, "set_id")
-    wanted = union_all(left).select("key").distinct()
-    held = met.join(wanted, "key", "left_semi").groupBy("scope", "key").agg(F.collect_list("word").alias("_held"))
-    scored = pairs.join(held, ["scope", "key"]).withColumn("score", F.size(F.array_intersect("words", "_held")).cast("bigint"))
-    place = F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("score"), F.desc("recency"), "key"))
-    best = scored.withColumn("position", place.cast("bigint")).filter(F.col("position") <= k)
-    return words.join(best.select("scope", "words", "position", "key", "score"), ["scope", "words"]).select(
-        "target_id", "position", "key", "score"
-    )
+    least = union_all(bounds).groupBy("target_id").agg(F.max("least").alias("least"))
+    prefix = words.join(least, "target_id", "left").fillna(0, ["least"]).filter("place <= n - least + 1")
+    ends = prefix.groupBy("target_id").agg(F.max("place").alias("reached"), F.max("n").alias("n"), F.max("least").alias("least"))
+    pairs = hits(prefix).join(ends, "target_id").filter("shared + n - least(reached, n - 1) >= greatest(least, 1)")
+    pairs = stage(pairs.select("target_id", "scope", "key", "recency"), "pairs")
+    held = met.join(pairs.select("scope", "key").distinct(), ["scope", "key"], "left_semi")
+    held = held.groupBy("scope", "key").agg(F.collect_list("word").alias("_held"))
+    asked = words.groupBy("target_id").agg(F.collect_list("word").alias("_words"))
+    verified = pairs.join(held, ["scope", "key"]).join(asked, "target_id")
+    return verified.select("target_id", "key", "recency", F.size(F.array_intersect("_words", "_held")).cast("bigint").alias("score"))
 
 
 def token_overlap(targets: DataFrame, pool: DataFrame, k: int = BEST) -> DataFrame:

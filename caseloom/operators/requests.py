@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions.routing import complexity, requested_tier
+from caseloom.functions.text import code_units
 from caseloom.schemas import REQUESTS
 
 
@@ -22,7 +23,7 @@ def payload_counts(requests: DataFrame) -> DataFrame:
         .withColumn("updates", count(F.size("chatUpdates")))
         .withColumn("files", count(files))
         .withColumn("photos", count(F.size("formPhotos")))
-        .withColumn("text_size", F.length(F.to_json(F.struct(*REQUESTS.names), {"ignoreNullFields": "false"})).cast("bigint"))
+        .withColumn("text_size", code_units(F.to_json(F.struct(*REQUESTS.names), {"ignoreNullFields": "false"})))
     )
 
 

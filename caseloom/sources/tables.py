@@ -9,9 +9,9 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
 
 from caseloom import schemas
 
@@ -31,16 +31,48 @@ def append_table(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def shaped(column: Column, given: DataType, wanted: DataType) -> Column:
+    """``column`` brought to a type: structs by field name at any depth, also within arrays and maps; the rest is cast.
+
+    Fields that are not given are NULL, ones that are not wanted go. A name is taken as it
+    is written, else in another case if only one field has it. A plain cast of a struct goes by position instead.
+    """
+    if given == wanted:
+        return column
+    if isinstance(given, StructType) and isinstance(wanted, StructType):
+        fields = []
+        for field in wanted.fields:
+            source = _field(given, field.name)
+            value = F.lit(None) if source is None else shaped(column.getField(source.name), source.dataType, field.dataType)
+            fields.append(value.cast(field.dataType).alias(field.name))
+        return F.when(column.isNotNull(), F.struct(*fields))
+    if isinstance(given, ArrayType) and isinstance(wanted, ArrayType):
+        return F.transform(column, lambda x: shaped(x, given.elementType, wanted.elementType))
+    if isinstance(given, MapType) and isinstance(wanted, MapType):
+        keyed = column
+        if given.keyType != wanted.keyType:
+            keyed = F.transform_keys(keyed, lambda k, v: shaped(k, given.keyType, wanted.keyType))
+        return F.transform_values(keyed, lambda k, v: shaped(v, given.valueType, wanted.valueType))
+    return column.cast(wanted)
+
+
+def _field(given: StructType, name: str) -> StructField | None:
+    """The field of a name; in another case only if that is unambiguous."""
+    exact = [f for f in given.fields if f.name == name]
+    alike = exact or [f for f in given.fields if f.name.lower() == name.lower()]
+    return alike[0] if len(alike) == 1 else None
+
+
 def conform(df: DataFrame, schema: StructType, defaults: dict | None = None) -> DataFrame:
-    """Bring ``df`` to ``schema``: missing columns appear, NULLs of defaulted columns take the default."""
+    """Bring ``df`` to ``schema``: missing columns and nested fields appear, NULLs of defaulted columns take the default."""
     defaults = defaults or {}
-    present = set(df.columns)
     columns = []
     for field in schema.fields:
-        name, kind = field.name, field.dataType.simpleString()
-        column = F.expr(f"cast({f'`{name}`' if name in present else 'null'} as {kind}) as `{name}`")
-        if name in defaults:
-            column = F.coalesce(column, F.lit(defaults[name])).alias(name)
+        source = _field(df.schema, field.name)
+        value = F.lit(None) if source is None else shaped(F.col(f"`{source.name.replace('`', '``')}`"), source.dataType, field.dataType)
+        column = value.cast(field.dataType).alias(field.name)
+        if field.name in defaults:
+            column = F.coalesce(column, F.lit(defaults[field.name])).alias(field.name)
         columns.append(column)
     return df.select(*columns)
 

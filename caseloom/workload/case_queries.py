@@ -118,6 +118,42 @@ def conform_cases(spark, sf_dir):
     )
 
 
+@query("conform_nested", fx.oracle("""
+select case_number, pdfname, uploadstatus, reviewername, first_key, first_value, n_specs, quality_of, toxic_of, added from (
+  select 'case_' || cast(d.doc_id as string) as case_number, d.source || '.pdf' as pdfname,
+    case when d.lang = 'de' then 'queued' end as uploadstatus, cast(null as string) as reviewername,
+    d.lang as first_key, cast(d.doc_id as string) as first_value, cast(2 as bigint) as n_specs,
+    cast(l.quality as string) as quality_of, cast(l.toxic as string) as toxic_of, cast(null as string) as added
+  from documents d left join labels l on l.doc_id = d.doc_id)"""))
+def conform_nested(spark, sf_dir):
+    """Stored documents whose nested fields are in another order, missing, unknown, or of another type."""
+    labels, docs = fx.table(spark, sf_dir, "labels"), fx.table(spark, sf_dir, "documents")
+    d = docs.join(labels, "doc_id", "left")
+    marks = F.struct(F.col("toxic").alias("t"), F.lit(1).alias("unknown"), F.col("quality").alias("q"))
+    stored = d.select(
+        F.concat(F.lit("case_"), F.col("doc_id").cast("string")).alias("case_number"),
+        F.struct(
+            F.when(F.col("lang") == "de", "queued").alias("uploadStatus"), F.col("doc_id").alias("unknown"),
+            F.concat("source", F.lit(".pdf")).alias("PDFNAME"),
+        ).alias("completed"),
+        F.array(
+            F.struct(F.col("doc_id").alias("value"), F.col("lang").alias("key")), F.struct(F.lit(0).cast("bigint").alias("value"), F.lit("k").alias("key"))
+        ).alias("specs"),
+        F.create_map(F.lit("marks"), marks).alias("seen"),
+    )
+    wanted = schemas.T.StructType.fromDDL(
+        "case_number string, completed struct<pdfName: string, uploadStatus: string, reviewerName: string>, "
+        "specs array<struct<key: string, value: string>>, seen map<string, struct<q: string, t: string, added: string>>"
+    )
+    rows, mark = conform(stored, wanted), F.col("seen")["marks"]
+    return rows.select(
+        "case_number", F.col("completed.pdfName").alias("pdfname"), F.col("completed.uploadStatus").alias("uploadstatus"),
+        F.col("completed.reviewerName").alias("reviewername"), F.col("specs")[0]["key"].alias("first_key"),
+        F.col("specs")[0]["value"].alias("first_value"), F.size("specs").cast("bigint").alias("n_specs"),
+        mark["q"].alias("quality_of"), mark["t"].alias("toxic_of"), mark["added"].alias("added"),
+    )
+
+
 _REASON = """case when trim(case_status) not in ('Verified - Good', 'Verified - Corrected', 'Verified - Rejected', 'Archived')
     then 'A verified case status is required.'
   when trim(case_status) = 'Verified - Corrected' and trim(corrected_recommendation) = ''

@@ -44,9 +44,36 @@ def tokens(e: str) -> str:
     )
 
 
+_DOT = r"(\.|%2e)"
+_SAFE = "!$-;=@-_a-z|~"
+
+
+def without_dots(e: str) -> str:
+    """A path with its dot segments resolved."""
+    return (
+        f"list_reduce(list_prepend('', string_split(substr({e}, 2), '/')), lambda a, s: "
+        f"case when regexp_matches(s, '^{_DOT}$', 'i') then a "
+        f"when regexp_matches(s, '^{_DOT}{_DOT}$', 'i') then regexp_replace(a, '/[^/]*$', '') else a || '/' || s end)"
+    )
+
+
+def escape_path(e: str) -> str:
+    return (
+        f"array_to_string(list_transform(regexp_extract_all({e}, '[^{_SAFE}]|[{_SAFE}]+'), "
+        f"lambda c: case when regexp_matches(c, '^[{_SAFE}]+$') then c else url_encode(c) end), '')"
+    )
+
+
+def code_units(e: str) -> str:
+    return f"(length({e}) + length(regexp_replace({e}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
+
+
 def product_url(e: str, prefix: str) -> str:
     """Normalised product URL against https://shop.example.com."""
     raw = f"regexp_replace(coalesce({e}, ''), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')"
+    raw = f"translate({raw}, chr(9) || chr(10) || chr(13), '')"
+    front = f"regexp_extract({raw}, '^[^?#]*')"
+    raw = f"(replace({front}, chr(92), '/') || substr({raw}, length({front}) + 1))"
     full = (
         f"case when regexp_matches({raw}, '^https?://', 'i') then {raw} when {raw} like '//%' then 'https:' || {raw} "
         f"when {raw} like '/%' then 'https://shop.example.com' || {raw} "
@@ -57,7 +84,8 @@ def product_url(e: str, prefix: str) -> str:
     host = f"lower(regexp_extract({clean}, '^[a-zA-Z]+://[^/]*', 0))"
     host = f"regexp_replace({host}, '//[^@]*@', '//')"
     host = f"case when {host} like 'https:%' then regexp_replace({host}, ':443$', '') else regexp_replace({host}, ':80$', '') end"
-    path = f"rtrim(regexp_extract({clean}, '^[a-zA-Z]+://[^/]*(/.*)$', 1), '/')"
+    path = f"regexp_extract({clean}, '^[a-zA-Z]+://[^/]*(/.*)$', 1)"
+    path = f"rtrim({escape_path(without_dots(path))}, '/')"
     return (
         f"case when regexp_matches({path}, '^{prefix}/[^/?#]+\\.html$', 'i') or "
         f"regexp_matches({path}, '^{prefix}/catalog/product/view/id/[0-9]+(/.*)?$', 'i') "

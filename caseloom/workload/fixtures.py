@@ -184,6 +184,15 @@ select 'product', p_partkey, case p_partkey % 7 when 0 then product_url || '//'
   when 4 then ' ' || product_url || '#frag '
   when 5 then replace(product_url, '/store/', '/store/catalog/product/view/id/12/')
   else replace(product_url, 'https://shop.example.com/', '') end
+from fx_products
+union all
+select 'spelt', p_partkey, case p_partkey % 9 when 0 then replace(product_url, '/store/', '/x/y/../../store/./')
+  when 1 then replace(product_url, '/store/', '/../%2e%2E/store/%2e/')
+  when 2 then replace(product_url, '/store/', '/store/café {"') when 3 then replace(product_url, '.html', '%41.html?a/../b')
+  when 4 then replace(replace(product_url, 'https://shop.example.com', ''), '/', chr(92))
+  when 5 then replace(product_url, '/store/', '/store/' || chr(9) || chr(10)) || '/.'
+  when 6 then replace(product_url, '/store/', '/store/catalog/product/view/id/12/a/../') || '/..'
+  when 7 then product_url || '/..' else replace(product_url, '/store/', '/store/..../😀') end
 from fx_products""",
 }
 

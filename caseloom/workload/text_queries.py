@@ -57,6 +57,21 @@ def clean_large_text(spark, sf_dir):
     return fx.table(spark, sf_dir, "documents").select("doc_id", X.clean_large_text(raw).alias("body"))
 
 
+# A fifth of the letters become characters of two code units.
+_WIDE = "translate(coalesce(text, ''), 'aeiou', '\U0001F600eiou')"
+_FITS = f"list_max(list_filter(range(0, 501), lambda p: {D.code_units('left(w, p::bigint)')} <= 500))"
+
+
+@query("code_units", f"""
+select doc_id, {D.code_units('w')} as units, left(w, {_FITS}::bigint) as short
+from (select doc_id, {D.squash(_WIDE)} as w from documents)""")
+def code_units(spark, sf_dir):
+    """Sizes and cuts of texts in which one character often takes two code units."""
+    wide = X.squash(F.translate(F.col("text"), "aeiou", "\U0001F600eiou"))
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", wide.alias("w"))
+    return docs.select("doc_id", X.code_units(F.col("w")).alias("units"), X.clean_text(F.col("w")).alias("short"))
+
+
 @query("clean_path", f"""
 select page_id, left({D.trim("trim(regexp_replace(replace(replace('/' || url || '/', '/', chr(92)), chr(92), '/'), '/+', '/', 'g'), '/')")}, 500)
   as path from pages""")

@@ -40,7 +40,7 @@ def sides(spark):
     )
 
 
-@pytest.mark.parametrize("walk", [M.FIRST_WALK, 1])
+@pytest.mark.parametrize("walk", [M.FIRST_WALK, 60, 1])
 @pytest.mark.parametrize("k", [1, 3, 250])
 def test_overlap(sides, walk, k):
     """Every target gets its list, in one walk or many."""

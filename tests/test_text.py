@@ -168,3 +168,23 @@ def test_usage(spark):
     read = df.select(F.from_json("u", R.USAGE_SCHEMA).alias("x"))
     rows = read.select(*[c.alias(n) for n, c in R.usage_columns(F.col("x")).items()]).collect()
     assert [tuple(r) for r in rows] == [(5, 7, 12, 0), (0, 0, 9, 2), (0, 0, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0)]
+
+
+@pytest.mark.parametrize("raw, expected", [
+    ("/my/shop/a/../b.html", "/my/shop/b.html"), ("../../my/shop/d.html", "/my/shop/d.html"),
+    ("/x/./%2e%2E/my/shop/./c.html", "/my/shop/c.html"), ("/my/shop/é b{.html", "/my/shop/%C3%A9%20b%7B.html"),
+    ("/my/shop/%41%2f.html", "/my/shop/%41%2f.html"), ("\\my\\shop\\e.html", "/my/shop/e.html"), ("/my/shop/f\n.html", "/my/shop/f.html"),
+    ("/my/shop/g.html/.", "/my/shop/g.html"), ("/my/shop/h.html/..", ""), ("/" + "a/../" * 150 + "my/shop/k.html", "/my/shop/k.html"),
+    ("/a" * 100 + "/.." * 100 + "/my/shop/l.html?x=../y", "/my/shop/l.html"), ("/my/shop/..../j.html", ""), ("/my/shop/m\U0001F600.html", "/my/shop/m%F0%9F%98%80.html"),
+])
+def test_addresses_are_resolved(spark, raw, expected):
+    origin = BASE.rstrip("/")
+    got = values(spark, lambda c: U.normalise_product_url(c, BASE, PREFIX), [raw])
+    assert got == [origin + expected if expected else ""]
+
+
+def test_code_units(spark):
+    given = ["ab\U0001F600cd", "\U0001F600\U0001F600", "abcd", "", None, "a\U0001F600", "é" * 4]
+    assert values(spark, X.code_units, given) == [6, 4, 4, 0, None, 3, 4]
+    assert values(spark, lambda c: X.cut(c, 3), given) == ["ab", "\U0001F600", "abc", "", None, "a\U0001F600", "ééé"]
+    assert values(spark, lambda c: X.clean_text(c, 2), given) == ["ab", "\U0001F600", "ab", "", "", "a", "éé"]
