@@ -13,7 +13,7 @@ from caseloom import schemas
 from caseloom.operators.cases import advance_sequences, assign_case_numbers
 from caseloom.operators.keyed import keep_last
 from caseloom.operators.logs import normalise_events, normalise_runs
-from caseloom.sources.tables import read_snapshot, versions, write_snapshot
+from caseloom.sources.tables import read_snapshot, stage, versions, write_snapshot
 
 
 def file_stream(
@@ -74,19 +74,37 @@ def compact_runs(spark: SparkSession, root: str, target: str) -> None:
     write_snapshot(current_runs(spark, root), target, 0)
 
 
+def unnumbered(batch: DataFrame, given: DataFrame | None, key: str, moment: str, tie: list[str]) -> DataFrame:
+    """The first request of each ``key`` in a batch, without those that ``given`` holds already."""
+    first = F.min_by(F.struct(*batch.columns), F.struct(F.col(moment), *tie)).alias("_first")
+    fresh = batch.groupBy(F.col(key).alias("_key")).agg(first)
+    if given is not None:
+        # What was given out is cut to the batch's keys first, so only keys that came again are carried on.
+        again = given.select(F.col(key).alias("_key")).join(fresh.select("_key"), "_key", "left_semi").distinct()
+        fresh = fresh.join(again, "_key", "left_anti")
+    return fresh.select("_first.*")
+
+
 def stream_case_numbers(
-    source: DataFrame, root: str, checkpoint: str, moment: str, tie: list[str], now=None
+    source: DataFrame, root: str, checkpoint: str, moment: str, tie: list[str], now=None, key: str | None = None
 ) -> StreamingQuery:
     """Hand out case numbers per micro-batch, gap-free over all of them.
 
     Assigned requests go to ``root/assigned``, the counters (one row per category) to
-    ``root/counters``. ``now`` stamps the counters; by default the batch's own clock.
+    ``root/counters``. ``now`` stamps the counters; by default the batch's own clock. With
+    ``key``, the column that names a request, a request that arrives again, in its batch or
+    in a later one, keeps the number it has and moves no counter.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         counters = read_snapshot(spark, f"{root}/counters", schemas.SEQUENCES, below=batch_id)
         if counters is None:
             counters = spark.createDataFrame([], schemas.SEQUENCES)
+        if key:
+            earlier = [v for v in versions(spark, f"{root}/assigned") if v < batch_id]
+            asked = StructType([batch.schema[key]])
+            given = spark.read.schema(asked).parquet(*[f"{root}/assigned/v={v:012d}" for v in earlier]) if earlier else None
+            batch = stage(unnumbered(batch, given, key, moment, tie), "unnumbered")
         write_snapshot(assign_case_numbers(batch, counters, moment, tie), f"{root}/assigned", batch_id)
         stamp = F.localtimestamp() if now is None else now
         write_snapshot(advance_sequences(counters, batch, stamp), f"{root}/counters", batch_id)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from caseloom import schemas
-from caseloom.sources.tables import new_path
+from caseloom.sources.tables import new_path, read_snapshot
 from caseloom.streaming import jobs
 from caseloom.workload import fixtures as fx
 from caseloom.workload.case_queries import NUMBERED
@@ -68,3 +68,28 @@ def stream_case_numbers(spark, sf_dir):
     jobs.stream_case_numbers(source, root, new_path(spark, "progress"), "ts", ["event_id"], fx.NOW).awaitTermination()
     schema = spark.createDataFrame([], "event_id bigint, category string, case_number string").schema
     return jobs.assigned_requests(spark, root, schema)
+
+
+# Requests of even users come first and once more with the others.
+_REPEATED = NUMBERED.format(counters="none").replace("order by e.ts, e.event_id", "order by e.user_id % 2, e.ts, e.event_id")
+
+
+@query("stream_repeated_requests", fx.oracle(
+    "with none as (select '' as name, 0 as last_value where false)," + f"numbered as ({_REPEATED})"
+    + """
+select n.event_id, n.case_number, t.last_value from numbered n
+join (select event_type, count(*) as last_value from events group by event_type) t on t.event_type = n.category"""
+))
+def stream_repeated_requests(spark, sf_dir):
+    """Two batches of requests, the second of which holds those of the first again: numbers stay, counters do not move for them."""
+    root, folder, progress = (new_path(spark, f"repeated-{n}") for n in ("numbers", "requests", "progress"))
+    events = fx.table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").alias("category"), "ts")
+    for part in (events.filter("user_id % 2 = 0"), events.unionByName(events.filter("user_id % 2 = 1"))):
+        part.write.mode("append").parquet(folder)
+        source = jobs.file_stream(spark, folder, events.schema)
+        jobs.stream_case_numbers(source, root, progress, "ts", ["event_id"], fx.NOW, "event_id").awaitTermination()
+    schema = spark.createDataFrame([], "event_id bigint, category string, case_number string").schema
+    counters = read_snapshot(spark, f"{root}/counters", schemas.SEQUENCES)
+    name = F.concat(F.lit("case_number_"), "category")
+    assigned = jobs.assigned_requests(spark, root, schema).withColumn("name", name)
+    return assigned.join(counters, "name").select("event_id", "case_number", "last_value")

@@ -7,7 +7,7 @@ from caseloom import schemas
 from caseloom.operators.cases import assign_case_numbers
 from caseloom.operators.keyed import keep_last
 from caseloom.operators.logs import normalise_events, normalise_runs
-from caseloom.sources.tables import new_path, versions
+from caseloom.sources.tables import new_path, read_snapshot, versions
 from caseloom.streaming import jobs
 from caseloom.workload import fixtures as fx
 from caseloom.workload.stream_queries import event_rows, run_rows
@@ -97,3 +97,27 @@ def test_an_unfinished_version_does_not_count(spark):
     spark.range(3).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{root}/v={1:012d}")
     assert versions(spark, root) == [0]
     assert versions(spark, root + "-none") == []
+
+
+def test_a_request_that_comes_again_keeps_its_number(spark):
+    """In its own batch, in a later one, and when that batch runs again."""
+    root, folder, mark = (new_path(spark, n) for n in ("numbers", "requests", "marks"))
+    shape = "id string, category string, ts int"
+
+    def run(rows):
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(folder)
+        source = jobs.file_stream(spark, folder, shape)
+        jobs.stream_case_numbers(source, root, mark, "ts", ["id"], fx.NOW, "id").awaitTermination()
+        given = jobs.assigned_requests(spark, root, spark.createDataFrame([], "id string, case_number string").schema)
+        counters = read_snapshot(spark, f"{root}/counters", schemas.SEQUENCES)
+        return {r["id"]: r["case_number"] for r in given.collect()}, {r["name"]: r["last_value"] for r in counters.collect()}
+
+    assert run([("a", "x", 2), ("b", "x", 1), ("a", "x", 5)]) == ({"b": "x_00001", "a": "x_00002"}, {"case_number_x": 2})
+    both = {"b": "x_00001", "a": "x_00002", "c": "x_00003", "d": "y_00001"}
+    assert run([("b", "y", 9), ("a", "x", 0), ("c", "x", 7), ("d", "y", 8)]) == (both, {"case_number_x": 3, "case_number_y": 1})
+    assert run([("c", "x", 1), ("d", "x", 1)]) == (both, {"case_number_x": 3, "case_number_y": 1})
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(mark).getFileSystem(spark._jsc.hadoopConfiguration())
+    assert fs.delete(path(f"{mark}/commits/2"), False)
+    fs.delete(path(f"{mark}/commits/.2.crc"), False)
+    assert run([("e", "y", 1)]) == (both | {"e": "y_00002"}, {"case_number_x": 3, "case_number_y": 2})

@@ -30,7 +30,7 @@ def test_strip_html_decodes_after_collapsing(spark):
 
 def test_clean_texts(spark):
     assert values(spark, lambda c: X.clean_text(c, 5), ["\t a  b  c d", None, "\U0001F600" * 7]) == [
-        "a b c", "", "\U0001F600" * 5,
+        "a b c", "", "\U0001F600" * 2,
     ]
     assert values(spark, lambda c: X.clean_large_text(c, 6), ["﻿ a\r\n b  c ", "\r\n"]) == ["a\n b  ", ""]
     assert values(spark, X.clean_path, ["\\\\a\\b//c/", "/ x /", None]) == ["a/b/c", "x", ""]
