@@ -71,3 +71,18 @@ def test_work_folder():
     with pytest.raises(RuntimeError):
         T.work_dir(_Session("yarn"))
     assert T.work_dir(_Session("local[2]")) == T.work_dir(_Session("local[2]"))
+
+
+def test_staged_tables_are_released(spark):
+    with T.collected() as made:
+        first = T.stage(spark.range(3), "first")
+        with T.collected() as inner:
+            T.stage(spark.range(4), "inner")
+    T.stage(spark.range(5), "outside")
+    assert len(made) == len(inner) == 1 and first.count() == 3
+    folder = spark._jvm.org.apache.hadoop.fs.Path(made[0])
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert fs.exists(folder)
+    T.release(spark, made)
+    assert made == [] and not fs.exists(folder)
+    assert fs.exists(spark._jvm.org.apache.hadoop.fs.Path(inner[0]))
