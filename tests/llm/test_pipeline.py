@@ -14,12 +14,13 @@ SF = "/root/testdata/sf0.001"
 def test_stages_in_order():
     assert [f.__name__ for _, f in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "personal_data", "mixed", "tokens"]
     names = entry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
 
 
 def test_near_duplicates_keeps_the_smallest_of_each_group(spark):
     texts = near_copies()
-    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(3, texts[3], "x")], "doc_id long, text string, kept string")
+    rows = [(i, t, "x", 1, 2, i) for i, t in enumerate(texts)] + [(3, texts[3], "x", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _kept string, _once int, rows int, `row.key` int")
     kept = corpus_pipeline.near_duplicates(spark, docs, SF)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in _classes(texts, 5, 80)})
