@@ -63,9 +63,9 @@ class Aligner:
 
     #: White space before a space, or a space in front: there a run goes on.
     JOINED = re.compile(r"\s |^ ")
-    AT_ONCE = 10_000  # New runs that the libraries are given at a time.
+    AT_ONCE = 4_000  # New runs that the libraries are given at a time.
 
-    def __init__(self, a_file: str, b_file: str, limit: int = 400_000, longest: int = 64):
+    def __init__(self, a_file: str, b_file: str, limit: int = 300_000, longest: int = 64):
         self.a = Tokenizer.from_file(a_file)
         self.a.encode_special_tokens = True
         self.codec, self.limit, self.longest = codec(b_file), limit, longest
@@ -336,7 +336,7 @@ def encode(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(columns.get(n, [None] * len(used)), k) for n, k in zip(names, kinds)], names)
 
         for whole in batches:
-            for part in small_batches(whole, "text", 1_000_000):
+            for part in small_batches(whole, "text", 500_000):
                 groups = work.encode(part.column("text").to_pylist())
                 keys, _ = groups.links(pairs, width)
                 held.append(np.unique(keys % pairs))
@@ -425,6 +425,7 @@ def document_counts(encoded: DataFrame, shared, a_file: str, b_file: str) -> np.
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, (table, stored) = aligner(a_file, b_file), shared.value
+        work.known.clear()  # Nothing is encoded any more.
         total = np.zeros(table.n, np.uint32)
         for whole in batches:
             for part in small_batches(whole, "a", 1_000_000):
