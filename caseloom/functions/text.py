@@ -137,6 +137,45 @@ def classifier_text(
     )
 
 
+def any_phrase(phrases: list[str]) -> str:
+    """A pattern that finds any of the phrases.
+
+    Phrases are merged by their beginnings, so at each place of a text only the branches of
+    what was read so far are tried: the cost does not follow the number of phrases. A phrase
+    that begins with another one is found by that one.
+    """
+    tree: dict = {}
+    for phrase in sorted(set(phrases)):
+        node = tree
+        for char in phrase:
+            if "" in node:
+                break
+            node = node.setdefault(char, {})
+        else:
+            node[""] = {}
+
+    def quoted(char: str) -> str:
+        return char if char.isalnum() or char.isspace() or ord(char) > 127 else "\\" + char
+
+    def pattern(node: dict) -> str:
+        if "" in node:
+            return ""
+        branches = []
+        for char, below in node.items():
+            chain = quoted(char)
+            # A run without branches needs no group of its own.
+            while len(below) == 1 and "" not in below:
+                char, below = next(iter(below.items()))
+                chain += quoted(char)
+            branches.append(chain + pattern(below))
+        if len(branches) == 1:
+            return branches[0]
+        # One look at the next character rules out places where no branch goes on.
+        return f"(?=[{''.join(map(quoted, node))}])(?:{'|'.join(branches)})"
+
+    return pattern(tree)
+
+
 def _chat_text(updates: Column) -> Column:
     return F.concat_ws(
         " ",

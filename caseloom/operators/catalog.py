@@ -1,12 +1,12 @@
 """Product records and the catalog table."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom import schemas
 from caseloom.functions import pages as P
 from caseloom.functions.records import parse_specs
-from caseloom.functions.text import classifier_text, or_default, product_search_text, slug
+from caseloom.functions.text import any_phrase, classifier_text, or_default, product_search_text, slug
 from caseloom.operators.keyed import as_ntz, keep_last, upsert
 
 
@@ -66,21 +66,27 @@ def active_products(catalog: DataFrame, category_slug: str) -> DataFrame:
 def filter_by_hints(products: DataFrame, hints: DataFrame) -> DataFrame:
     """Rows whose text holds a hint phrase of their category; a category without hints keeps all.
 
-    The hints are a hand-kept phrase list: one array per category.
+    The hints are a hand-kept phrase list, read here. Each category's phrases become one
+    pattern, so a row is read once however many phrases its category has.
     """
-    phrases = hints.groupBy("app_category_slug").agg(F.collect_set("hint").alias("_hints"))
-    found = classifier_text(
+    phrases: dict[str, list[str]] = {}
+    for row in hints.select("app_category_slug", "hint").collect():
+        if row["app_category_slug"] is not None and row["hint"] is not None:
+            phrases.setdefault(row["app_category_slug"], []).append(row["hint"])
+    if not phrases:
+        return products
+    searched = classifier_text(
         F.col("product_name"), F.col("sku"), F.col("brand"), F.col("short_description"), F.col("category_trail"),
         F.col("specs"),
     )
-    return (
-        products.join(phrases, "app_category_slug", "left")
-        .withColumn("_text", found)
-        .filter(
-            F.col("_hints").isNull() | F.exists(F.col("_hints"), lambda hint: F.contains(F.col("_text"), hint))
-        )
-        .drop("_hints", "_text")
-    )
+
+    def found(text: Column) -> Column:
+        column = F
+        for category, words in sorted(phrases.items()):
+            column = column.when(F.col("app_category_slug") == category, text.rlike(any_phrase(words)))
+        return column.otherwise(True)
+
+    return products.filter(F.element_at(F.transform(F.array(searched), found), 1))
 
 
 def catalog_columns(catalog: DataFrame, *more: str) -> DataFrame:

@@ -208,3 +208,15 @@ def test_default_dimensions(spark):
     assert hinted == {r[0] for r in sources.select(slug(F.col("app_category"))).distinct().collect()}
     plan = sources._jdf.queryExecution().optimizedPlan().toString()
     assert "LocalRelation" in plan
+
+
+def test_hints_are_phrases_of_the_own_category(spark):
+    """Ten thousand phrases keep the same rows as one contains per phrase, and one pattern a category."""
+    rng = random.Random(8)
+    hints = {"belt": [f"w{i:04} x" for i in range(10_000)], "chain": ["roller", "a.c"]}
+    rows = [(f"u{i}", rng.choice(["belt", "chain", "other", None]), f"W{rng.randrange(20_000):04} {rng.choice('xy')} {rng.choice(['Roller', 'abc', 'a.c'])}") for i in range(300)]
+    products = conform(spark.createDataFrame(rows, "product_url string, app_category_slug string, product_name string"), schemas.PRODUCTS)
+    kept = C.filter_by_hints(products, category_hints(spark, hints))
+    want = {u for u, c, t in rows if c not in hints or any(h in t.lower() for h in hints[c])}
+    assert {r["product_url"] for r in kept.collect()} == want
+    assert C.filter_by_hints(products, category_hints(spark, {})).count() == len(rows)

@@ -1,5 +1,7 @@
 """Column transforms against hand-made edge rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +190,12 @@ def test_code_units(spark):
     assert values(spark, X.code_units, given) == [6, 4, 4, 0, None, 3, 4]
     assert values(spark, lambda c: X.cut(c, 3), given) == ["ab", "\U0001F600", "abc", "", None, "a\U0001F600", "ééé"]
     assert values(spark, lambda c: X.clean_text(c, 2), given) == ["ab", "\U0001F600", "ab", "", "", "a", "éé"]
+
+
+def test_any_phrase(spark):
+    rng = random.Random(3)
+    phrases = ["".join(rng.choices("ab c.-(]^\\é$", k=rng.randint(1, 5))) for _ in range(60)]
+    texts = ["".join(rng.choices("abcd .-(]^\\é$", k=rng.randint(0, 12))) for _ in range(400)]
+    for some in (phrases[:1], phrases[:4], phrases[:12], ["belt", "bel", "be lt", "x]y", "a-z"], [""]):
+        got = values(spark, lambda c: c.rlike(X.any_phrase(some)), texts + some)  # noqa: B023
+        assert got == [any(p in t for p in some) for t in texts + some]
