@@ -7,7 +7,7 @@ from pyspark.sql.types import StructType
 from caseloom import schemas
 from caseloom.functions.records import USAGE_SCHEMA, is_transient, read_variant, usage_columns
 from caseloom.functions.text import clean_text, or_default, slug, text
-from caseloom.operators.keyed import newest, union_all, upsert
+from caseloom.operators.keyed import newest, newest_per_group, union_all, upsert
 from caseloom.sources.tables import conform
 
 # Fixed value: prompt version of a run that names none.
@@ -149,3 +149,21 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 def upsert_runs(runs: DataFrame, new: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Every column is replaced on a match, ``created_at`` included."""
     return upsert(runs, new, "request_id", order)
+
+
+def batch_states(rows: DataFrame, batch: Column, n: int, tie: list[str], columns: list[str], recency: str = "created_at") -> DataFrame:
+    """What each batch of rows adds to the overview: ``(batch, rows, newest)``, ``newest`` being its newest ``n`` rows.
+
+    States of disjoint batches merge in any order and any grouping, see ``merge_states``. The
+    rows are ones that stay: of an append-only log, or of one snapshot of a table that changes.
+    """
+    rows = rows.select(batch.alias("batch"), *columns)
+    counts = rows.groupBy("batch").agg(F.count(F.lit(1)).alias("rows"))
+    top = newest_per_group(rows, "batch", recency, tie, n).groupBy("batch").agg(F.collect_list(F.struct(*columns)).alias("newest"))
+    return counts.join(top, "batch")
+
+
+def merge_states(states: DataFrame, n: int, tie: list[str], recency: str = "created_at") -> tuple[DataFrame, DataFrame]:
+    """The row count over all batches, and their newest ``n`` rows; folding merged states again gives the same."""
+    total = states.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+    return total, newest(states.select(F.inline("newest")), n, recency, tie)

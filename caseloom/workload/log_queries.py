@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from caseloom.operators import logs
-from caseloom.plans.admin import admin_summary
-from caseloom.sources.tables import append_table, new_path
+from caseloom.plans.admin import STATES, admin_summary, admin_summary_of_states, overview_states
+from caseloom.sources.tables import append_table, new_path, stage
 from caseloom import schemas
 from caseloom.workload import duck as D
 from caseloom.workload import fixtures as fx
@@ -171,7 +171,7 @@ _EVENT_VIEW = "event_name event_detail level case_number category request_id cre
 _EVAL_VIEW = "case_number category user_name rating evaluation_note source_run_request_id created_at"
 
 
-@query("admin_summary", fx.oracle(f"""
+_OVERVIEW = fx.oracle(f"""
 with counts as ({_COUNTS}), health as ({_health(_NEWEST, _OK)}),
 listed as ((select * from fx_cases where rating = 'good' {_TOP}) union all
   (select * from fx_cases where rating = 'bad' {_TOP})),
@@ -185,9 +185,25 @@ union all {_unpivoted('recent_health', "''", 'successful_runs failed_runs avg_la
 union all {_unpivoted('status_counts', 'case_status', 'case_status cases', 'statuses')}
 union all {_unpivoted('recent_runs', 'request_id', _RUN_VIEW, 'run_view')}
 union all {_unpivoted('recent_events', 'request_id', _EVENT_VIEW, 'event_view')}
-union all {_unpivoted('recent_evals', 'case_number', _EVAL_VIEW, 'eval_view')}"""))
+union all {_unpivoted('recent_evals', 'case_number', _EVAL_VIEW, 'eval_view')}""")
+
+
+@query("admin_summary", _OVERVIEW)
 def admin_summary_query(spark, sf_dir):
+    return admin_summary(*overview_tables(spark, sf_dir).values())
+
+
+def overview_tables(spark, sf_dir):
     good, bad = fx.case_tables(spark, sf_dir)
-    return admin_summary(
-        good, bad, fx.catalog(spark, sf_dir), runs(spark, sf_dir), events(spark, sf_dir), evals(spark, sf_dir)
-    )
+    tables = [good, bad, fx.catalog(spark, sf_dir), runs(spark, sf_dir), events(spark, sf_dir), evals(spark, sf_dir)]
+    return dict(zip(STATES, tables))
+
+
+@query("admin_summary_states", _OVERVIEW)
+def admin_summary_states(spark, sf_dir):
+    """Each table arrives in batches, each batch leaves a state, and the overview reads the states alone."""
+    states = {}
+    for name, rows in overview_tables(spark, sf_dir).items():
+        key = STATES[name][2][0]
+        states[name] = stage(overview_states(name, rows, F.pmod(F.xxhash64(key), F.lit(5))), "states")
+    return admin_summary_of_states(states)

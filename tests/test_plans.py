@@ -9,9 +9,14 @@ from caseloom import schemas
 from caseloom.operators import cases, logs
 from caseloom.operators.catalog import page_records, upsert_products
 from caseloom.operators.crawl import listing_links
+from caseloom.plans import admin
 from caseloom.plans.catalog_sync import next_catalog
 from caseloom.sources.dimensions import catalog_sources
 from caseloom.sources.tables import new_path, read_pages, read_table
+from caseloom.workload.log_queries import overview_tables
+from tests.helpers import dicts
+
+SF = "/root/testdata/sf0.001"
 
 
 def _plan(df):
@@ -79,3 +84,19 @@ def test_pages_are_read_without_a_shuffle(spark):
     listed = pages.withColumn("source_label", F.lit("x")).withColumn("page_no", F.lit(1))
     plan = _plan(listing_links(listed, "https://shop.example.com", "/store"))
     assert "Exchange" not in plan and "ReadSchema: struct<html:string>" in plan
+
+
+@pytest.mark.parametrize("batches", [1, 7])
+def test_overview_from_states(spark, batches):
+    """Any split into batches, folded at once or in two steps, gives what the tables give."""
+    tables = overview_tables(spark, SF)
+    want = dicts(admin.admin_summary(*tables.values()), "section", "item", "field", "value")
+    states = {}
+    for name, rows in tables.items():
+        n, recency, tie, columns = admin.STATES[name]
+        found = admin.overview_states(name, rows, F.pmod(F.xxhash64(tie[0]), F.lit(batches)))
+        # Half of the states are merged first and stand for one batch from then on.
+        total, top = logs.merge_states(found.filter("batch % 2 = 0"), n, tie, recency)
+        folded = top.agg(F.collect_list(F.struct(*columns)).alias("newest")).join(total).select(F.lit(-1).cast("bigint").alias("batch"), "rows", "newest")
+        states[name] = found.filter("batch % 2 = 1").select(F.col("batch").cast("bigint"), "rows", "newest").unionByName(folded)
+    assert dicts(admin.admin_summary_of_states(states), "section", "item", "field", "value") == want
