@@ -43,15 +43,19 @@ def source_tokens(sized: DataFrame) -> DataFrame:
 def solve_exponent(sources: DataFrame, target_entropy: float | None = None, repetition_limit: float | None = None, budget: float | None = None, most: float = 8.0, rounds: int = 6) -> float:
     """The least exponent from 0 to ``most`` whose weights have at most the target entropy (in nats)
     and repeat no source more than the limit; 1 keeps the shares as they are (and is the result
-    if neither target is given or no source has a token)."""
+    if neither target is given or no source has a token).
+
+    Raises ValueError where a target is out of reach, or both cannot be met by one exponent:
+    entropy falls with the exponent, repetition is least at 1 and grows on either side.
+    """
     total = sources.agg(F.sum("tokens")).first()[0]
     if not total or (target_entropy is None and repetition_limit is None):
         return 1.0
-    low, high = 0.0, most
     share = F.log(F.col("tokens") / F.lit(float(total)))
-    for _ in range(rounds):
-        step = (high - low) / SECTIONS
-        tried = sources.where("tokens > 0").select(share.alias("l"), "tokens", F.explode(F.sequence(F.lit(0), F.lit(SECTIONS))).alias("i"))
+
+    def met(low: float, step: float, n: int, entropy_target: float | None, limit: float | None) -> list[int]:
+        """Which of the exponents ``low + i * step`` meet the given targets."""
+        tried = sources.where("tokens > 0").select(share.alias("l"), "tokens", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("i"))
         exponent = F.lit(low) + F.col("i") * F.lit(step)
         power = F.exp(F.col("l") * exponent)
         rows = (
@@ -62,21 +66,36 @@ def solve_exponent(sources: DataFrame, target_entropy: float | None = None, repe
                 F.max(power / F.col("tokens")).alias("most"),
                 F.min(power / F.col("tokens")).alias("least"),
             )
-            .collect()  # SECTIONS + 1 rows.
+            .collect()  # n + 1 rows.
         )
         good = []
         for r in rows:
             entropy = math.log(r.z) - r.zl / r.z
             # Without a budget the least repeated source is kept whole once.
             repeats = r.most / r.least if budget is None else budget * r.most / r.z
-            met = (target_entropy is None or entropy <= target_entropy + 1e-12) and (repetition_limit is None or repeats <= repetition_limit * (1 + 1e-12))
-            if met:
+            if (entropy_target is None or entropy <= entropy_target + 1e-9) and (limit is None or repeats <= limit * (1 + 1e-9)):
                 good.append(r.i)
-        first = min(good, default=SECTIONS)
-        if first == 0:
-            return low
-        low, high = low + (first - 1) * step, low + first * step
-    return high
+        return good
+
+    def least(name: str, entropy_target: float | None, limit: float | None) -> float:
+        low, high = 0.0, most
+        for _ in range(rounds):
+            step = (high - low) / SECTIONS
+            good = met(low, step, SECTIONS, entropy_target, limit)
+            if not good:
+                raise ValueError(f"no exponent up to {most} meets the {name}")
+            if min(good) == 0:
+                return low
+            low, high = low + (min(good) - 1) * step, low + min(good) * step
+        return high
+
+    found = max(
+        least("target entropy", target_entropy, None) if target_entropy is not None else 0.0,
+        least("repetition limit", None, repetition_limit) if repetition_limit is not None else 0.0,
+    )
+    if not met(found, 0.0, 0, target_entropy, repetition_limit):
+        raise ValueError("no exponent meets the target entropy and the repetition limit together")
+    return found
 
 
 def quotas(sources: DataFrame, exponent: float, budget: float | None = None) -> DataFrame:

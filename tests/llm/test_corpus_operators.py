@@ -14,6 +14,7 @@ from tests.llm.cases import awkward_docs, empty_docs, near_copies, rows_of
 
 
 def _vectors(spark, rows):
+    rows = [(*r, None)[:3] for r in rows]
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
 
 
@@ -232,3 +233,47 @@ def test_pairs_alike_are_those_of_the_likeness():
     want = {frozenset((i, j)) for i in range(len(texts)) for j in range(i) if prints[i].likeness(prints[j]) >= 0.8}
     assert {frozenset(p) for p in edit_embedding.alike(prints, 0.8).tolist()} == want
     assert all(10 * min(prints[i].ticks, prints[j].ticks) >= 6 * max(prints[i].ticks, prints[j].ticks) for i, j in map(tuple, want))
+
+
+def test_mixing_targets_out_of_reach(spark):
+    """An error instead of a plan; a narrow but reachable pair of targets is met."""
+    sources = spark.createDataFrame([("a", 1000), ("b", 100), ("c", 10)], "source string, tokens long")
+    solve = temperature_mixing.solve_exponent
+    for targets in ({"target_entropy": 0.05, "repetition_limit": 1.5}, {"target_entropy": -1.0}, {"repetition_limit": 0.5}):
+        with pytest.raises(ValueError):
+            solve(sources, **targets)
+    exponent = solve(sources, target_entropy=0.33, repetition_limit=2.0)
+    power = [(t / 1110) ** exponent for t in (1000, 100, 10)]
+    weights = [p / sum(power) for p in power]
+    repeats = [w / t for w, t in zip(weights, (1000, 100, 10))]
+    assert -sum(w * math.log(w) for w in weights) <= 0.33 + 1e-6 and max(repeats) / min(repeats) <= 2 + 1e-6
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    """Many multiples of one vector tie; copies of a third of all rows and a group above the share are searched."""
+    rng = np.random.default_rng(12)
+    line = [(i, ((1 + i % 37) * np.array([1.0, 2.0, 3.0, 0.5])).tolist()) for i in range(0, 400, 2)]
+    rest = [(1001 + i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)))]
+    got = permutation_index.search(_vectors(spark, line + rest), F.col("vec_id") % 50 == 0).where("query_id < 400").collect()
+    for r in got:
+        first = [i for i, _ in line if i != r.query_id][:5]
+        assert r.vec_id == first[r["rank"] - 1] or abs(r.score - 1) > 1e-12
+
+
+def test_recall_where_near_copies_exceed_the_share(spark, monkeypatch):
+    """Half of the rows are near copies of one vector; few of a shard's vectors are reranked."""
+    monkeypatch.setattr(permutation_index, "SHARD", 1500)
+    rng = np.random.default_rng(13)
+    centre = rng.normal(size=24)
+    rows = np.concatenate([centre + 0.05 * rng.normal(size=(1500, 24)), rng.normal(size=(40, 24)).repeat(40, 0)[:1500] + 0.4 * rng.normal(size=(1500, 24))])
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    got = permutation_index.search(_vectors(spark, [(i, v.tolist()) for i, v in enumerate(rows)]), F.col("vec_id") % 50 == 0).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, 3000, 50):
+        near = unit @ unit[q]
+        near[q] = -2
+        hit += len(set(np.argsort(-near)[:5].tolist()) & found[q])
+    assert hit / 300 >= 0.9
