@@ -49,3 +49,49 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     for i in range(words):
         total = mix(total + hashes[i : i + n]) * np.uint64(0xD6E8FEB86659FD93)
     return np.unique(mix(total))
+
+
+class PieceWords:
+    """Word hashes of texts that are given as pieces, without joining them: the same as ``word_hashes`` of the joined bytes.
+
+    No piece may hold white space between other bytes.
+    """
+
+    def __init__(self, pieces: list[bytes]):
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        self.length = np.array([len(p) for p in pieces], np.int64)
+        owner = np.repeat(np.arange(len(pieces)), self.length)
+        space = _SPACE[raw]
+        at = np.arange(len(raw)) - (np.cumsum(self.length) - self.length)[owner]
+        self.lead, last = self.length.copy(), np.zeros(len(pieces), np.int64)
+        np.minimum.at(self.lead, owner[~space], at[~space])
+        np.maximum.at(last, owner[~space], at[~space] + 1)
+        if (~space != ((at >= self.lead[owner]) & (at < last[owner]))).any():
+            raise ValueError("a piece holds white space between other bytes")
+        #: Whether a word may go on behind the piece.
+        self.open = (last > 0) & (last == self.length)
+        self.value = np.zeros(len(pieces), np.uint64)
+        np.add.at(self.value, owner, np.where(space, np.uint64(0), _CODES[raw] * _powers(_BASE, int(self.length.max(initial=0)) + 1)[at]))
+
+    def hashes(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of all texts, text after text, and how many words each has."""
+        length, lead = self.length[ids], self.lead[ids]
+        ends = np.cumsum(sizes)
+        offset = np.cumsum(length) - length
+        begins = ends - sizes
+        full = begins[sizes > 0]
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        base = np.zeros(len(sizes), np.int64)
+        base[sizes > 0] = offset[full]
+        offset -= base[doc]
+        written = length > lead
+        # A word begins behind white space, within a piece or before it, and with its text.
+        fresh = written & (lead > 0)
+        fresh[1:] |= written[1:] & ~self.open[ids[:-1]]
+        fresh[full] |= written[full]
+        start = np.flatnonzero(fresh)
+        if not len(start):
+            return np.empty(0, np.uint64), np.zeros(len(sizes), np.int64)
+        most = int((offset + length).max()) + 1
+        totals = np.add.reduceat(np.where(written, self.value[ids] * _powers(_BASE, most)[offset], np.uint64(0)), start)
+        return mix(totals * _powers(_INVERSE, most)[offset[start] + lead[start]]), np.bincount(doc[start], minlength=len(sizes))
