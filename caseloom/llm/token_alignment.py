@@ -65,7 +65,7 @@ class Aligner:
     JOINED = re.compile(r"\s |^ ")
     AT_ONCE = 4_000  # New runs that the libraries are given at a time.
 
-    def __init__(self, a_file: str, b_file: str, limit: int = 300_000, longest: int = 64):
+    def __init__(self, a_file: str, b_file: str, limit: int = 220_000, longest: int = 64):
         self.a = Tokenizer.from_file(a_file)
         self.a.encode_special_tokens = True
         self.codec, self.limit, self.longest = codec(b_file), limit, longest
@@ -84,7 +84,9 @@ class Aligner:
             (np.array([f"{i},".encode() for i in range(n)], object), np.array([f"{i}{close}".encode() for i in range(n)], object))
             for n, close in ((len(self.a_bytes), "|"), (len(self.b_bytes), ";"))
         )
+        # Two generations: what is met again while the older one is kept moves on to the younger.
         self.known: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
 
     @classmethod
     def runs(cls, text: str) -> list[str]:
@@ -122,9 +124,11 @@ class Aligner:
         """The groups of whole texts."""
         split = [self.runs(t) if t and MARK not in t else [] for t in batch]
         if len(self.known) > self.limit:
-            self.known = {}
-        known, extra = self.known, {}
-        new = list(set().union(*split).difference(known))
+            self.known, self.older = {}, self.known
+        known, older, extra = self.known, self.older, {}
+        missing = set().union(*split).difference(known)
+        known.update((word, older[word]) for word in missing.intersection(older))
+        new = list(missing.difference(older))
         for i in range(0, len(new), self.AT_ONCE):
             part = new[i : i + self.AT_ONCE]
             for word, code in zip(part, self._new(part)):
@@ -425,7 +429,7 @@ def document_counts(encoded: DataFrame, shared, a_file: str, b_file: str) -> np.
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, (table, stored) = aligner(a_file, b_file), shared.value
-        work.known.clear()  # Nothing is encoded any more.
+        work.known, work.older = {}, {}  # Nothing is encoded any more.
         total = np.zeros(table.n, np.uint32)
         for whole in batches:
             for part in small_batches(whole, "a", 1_000_000):

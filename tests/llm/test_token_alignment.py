@@ -121,3 +121,15 @@ def test_perfect_hash():
         table.verified(np.setdiff1d(np.arange(1000, dtype=np.int64), own), stored)
     bits = sum(64 * len(w) for levels in half.values() for w in levels)
     assert bits < 5 * len(own)
+
+
+def test_runs_are_kept_in_two_generations():
+    """A table that overflows all the time gives the same ids, and forgets only what was not met again."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdé \n", k=rng.randint(1, 6))) for _ in range(200)]
+    batches = [[" ".join(rng.choices(words, k=30)) for _ in range(5)] for _ in range(20)]
+    small, large = ta.Aligner(A, B, limit=20), ta.Aligner(A, B)
+    for batch in batches:
+        one, two = small.encode(batch), large.encode(batch)
+        assert (one.a == two.a).all() and (one.b == two.b).all() and (one.docs_a == two.docs_a).all()
+    assert len(small.known) + len(small.older) < len(large.known)
