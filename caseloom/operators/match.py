@@ -49,17 +49,21 @@ def pool_postings(pool: DataFrame) -> DataFrame:
     return pool.select("scope", F.explode_outer("words").alias("word"), "key", "recency")
 
 
+def _held(postings: DataFrame) -> DataFrame:
+    """How many candidates hold each word."""
+    return postings.groupBy("scope", "word").agg(F.count(F.lit(1)).alias("held"))
+
+
 def _target_words(asked: DataFrame, postings: DataFrame) -> DataFrame:
     """Each target's words that the postings hold, numbered from rare to frequent: ``place`` of ``n``.
 
-    ``walked`` counts the postings up to the place, ``all`` those of all the target's words.
+    ``walked`` counts the postings up to the place.
     """
-    held = postings.groupBy("scope", "word").agg(F.count(F.lit(1)).alias("held"))
     mine = Window.partitionBy("target_id")
     order = mine.orderBy("held", "word")
-    return asked.join(held, ["scope", "word"]).select(
+    return asked.join(_held(postings), ["scope", "word"]).select(
         "target_id", "scope", "word", "held", F.row_number().over(order).alias("place"), F.count(F.lit(1)).over(mine).alias("n"),
-        F.sum("held").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("walked"), F.sum("held").over(mine).alias("all"),
+        F.sum("held").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("walked"),
     )
 
 
@@ -74,17 +78,25 @@ def best_by_bounds(targets: DataFrame, postings: DataFrame, k: int = BEST, first
     asked = stage(asked, "asked-words")
     vocabulary = asked.select("scope", "word").distinct()
     met = stage(postings.join(vocabulary, ["scope", "word"], "left_semi").select("scope", "word", "key", "recency"), "postings")
-    words = stage(_target_words(asked, met), "target-words")
-    near, far = words.filter(F.col("all") <= first_walk), words.filter(F.col("all") > first_walk)
-    scored = _hits(near, met).select("target_id", "key", "recency", F.col("shared").alias("score"))
-    if not far.isEmpty():
-        scored = scored.unionByName(_bounded(far, met, k, first_walk))
+    walks = asked.join(_held(met), ["scope", "word"]).groupBy("target_id").agg(F.sum("held").alias("all"))
+    far = walks.filter(F.col("all") > first_walk).select("target_id")
+    if far.isEmpty():
+        scored = _counted(asked, met)
+    else:
+        far = stage(far, "far-targets")
+        words = stage(_target_words(asked.join(far, "target_id", "left_semi"), met), "target-words")
+        scored = _counted(asked.join(far, "target_id", "left_anti"), met).unionByName(_bounded(words, met, k, first_walk))
     place = F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("score"), F.desc("recency"), "key"))
     return scored.withColumn("position", place.cast("bigint")).filter(F.col("position") <= k).select(
         "target_id", "position", "key", "score"
     )
 
 
+def _counted(words: DataFrame, postings: DataFrame) -> DataFrame:
+    """Scores of all candidates that hold any of the words."""
+    return _hits(words, postings).select("target_id", "key", "recency", F.col("shared").alias("score"))
+
+
 def _hits(words: DataFrame, postings: DataFrame) -> DataFrame:
     """How many of the words each candidate holds."""
     met = words.select("target_id", "scope", "word").join(postings, ["scope", "word"])
