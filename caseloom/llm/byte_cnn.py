@@ -11,7 +11,8 @@ Defined results: a null text counts as empty and is scored as one chunk of paddi
 null ``doc_id`` is scored and counts as not held out; repeated rows give one result each;
 labels that are null or whose document is missing are not used, several labels of one
 document are averaged; without labels of both kinds every score is the share of label 1
-(0.5 without any label); an empty table gives no rows.
+(0.5 without any label); an empty table gives no rows; texts of any length count
+whole; other columns of the input, whatever their names, stay outside.
 """
 
 from collections.abc import Iterator

@@ -8,7 +8,8 @@ the runs it has seen in a bounded table and joins ids back by position; texts ar
 shuffled.
 
 Defined results: a null text counts as empty and gives the begin and end id only; a null
-``doc_id`` stays null; repeated rows give one result each; an empty table gives no rows.
+``doc_id`` stays null; repeated rows give one result each; an empty table gives no rows; texts of any length count
+whole; other columns of the input, whatever their names, stay outside.
 """
 
 import functools

@@ -13,7 +13,8 @@ marks with their word are counted once and a text is the sum of its runs; this i
 for scores that are whole numbers, as those of the given file are, and sums below 2**53.
 
 Defined results: a null or empty text has no tokens; a null ``doc_id`` stays null;
-repeated rows give one result each; an empty table gives no rows.
+repeated rows give one result each; an empty table gives no rows; texts of any length count
+whole; other columns of the input, whatever their names, stay outside.
 """
 
 import functools

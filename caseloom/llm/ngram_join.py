@@ -22,7 +22,8 @@ and the sets of chained documents are shuffled. N-grams are compared by 64-bit h
 Defined results: null or wordless texts have an empty set, link with nothing and are
 their own component; a null ``doc_id`` is never a component id: such a row has its set's
 component where a row with an id has the same set, else null; repeated rows give one
-result each; an empty table gives no rows.
+result each; an empty table gives no rows; texts of any length count
+whole; other columns of the input, whatever their names, stay outside.
 """
 
 from bisect import bisect_right

@@ -16,8 +16,8 @@ blocks. Documents are dealt into ranges of ``doc_id``, sorted and written in tha
 so ``bucket`` and ``segment`` order the files' rows by ascending ``doc_id``.
 
 Defined results: a null or empty text holds the end id alone; null ids come before all
-others; rows of one id are ordered by text and each has its own place; an empty table
-gives no rows.
+others; rows of one id are ordered by text and each has its own place; an empty table gives no rows; texts of any length count
+whole; other columns of the input, whatever their names, stay outside.
 """
 
 import functools
