@@ -37,8 +37,8 @@ def append_table(df: DataFrame, path: str) -> None:
 def shaped(column: Column, given: DataType, wanted: DataType) -> Column:
     """``column`` brought to a type: structs by field name at any depth, also within arrays and maps; the rest is cast.
 
-    Fields that are not given are NULL, ones that are not wanted go. A name is taken as it
-    is written, else in another case if only one field has it. A plain cast of a struct goes by position instead.
+    Fields that are not given are NULL, ones that are not wanted go. A name in another case
+    counts where only one field has it. A plain cast of a struct goes by position instead.
     """
     if given == wanted:
         return column

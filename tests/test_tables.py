@@ -20,8 +20,8 @@ def test_conform_adds_casts_and_defaults(spark):
 
 
 def test_conform_goes_by_name_at_any_depth(spark):
-    given = "a struct<y: int, x: struct<b: string, a: string>>, `l.1` array<struct<v: int, k: string>>, m map<int, struct<b: int, a: int>>, s struct<P: int, p: int>"
-    df = spark.createDataFrame([((1, ("B", "A")), [(7, "k"), None], {3: (2, 1)}, (4, 5)), (None, None, None, None)], given)
+    given = "a struct<y: int, x: struct<b: string, a: string>>, `l.1` array<struct<v: int, k: string>>, m map<int, struct<b: int, a: int>>, s struct<P: int>"
+    df = spark.createDataFrame([((1, ("B", "A")), [(7, "k"), None], {3: (2, 1)}, (5,)), (None, None, None, None)], given)
     wanted = "m map<string, struct<a: long, b: int, c: string>>, a struct<x: struct<a: string, b: string, c: int>, z: date>, `l.1` array<struct<k: string, v: string>>, s struct<p: int, q: int>, n struct<x: int>"
     got = T.conform(df, schemas.T.StructType.fromDDL(wanted))
     assert [f.dataType.simpleString() for f in got.schema] == [f.dataType.simpleString() for f in schemas.T.StructType.fromDDL(wanted)]
