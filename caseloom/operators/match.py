@@ -1,15 +1,18 @@
 """Ranking products or earlier cases against a text by shared words.
 
-A target meets every candidate of its scope; only the wanted number of results cuts. The
-candidates' words are postings, ``(scope, word, key, recency)``, read for the words that
-targets ask for. Where these are many, a target's words are walked from rare to frequent
-until no candidate that was not met can be among the best. So words that most candidates
-hold are hardly ever walked. Postings come from a pool of candidates or are kept as an
-index beside the cases (``caseloom/operators/case_index.py``).
+A target meets every candidate of its scope; only the wanted number of results cuts. Targets
+and candidates of a scope are cut into slices of bounded size, and each pair of slices
+is one task's work: it counts shared words over postings in memory and gives the best
+candidates of each target. So neither pairs nor hits are shuffled or written, only the words of
+both sides, each once for every slice of the other. Words are compared by 64-bit hash. Candidates
+come from a pool or from an index kept beside the cases (``caseloom/operators/case_index.py``).
 
 Products keep the job's own rule: only the newest 250 of a category are candidates.
 """
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,13 +20,15 @@ from pyspark.sql.window import Window
 from caseloom.functions.records import product_line
 from caseloom.functions.text import case_search_text, product_search_text, recommendation_text, slug, tokens
 from caseloom.operators.catalog import catalog_columns
-from caseloom.operators.keyed import newest_per_group, union_all
+from caseloom.operators.keyed import newest_per_group
+from caseloom.schemas import L, T
 from caseloom.sources.tables import stage
 
 # Product candidates per category, and results per target.
 CANDIDATES, BEST = 250, 5
-# Postings that a target's first walk may read, and how much more each further one.
-FIRST_WALK, WIDER = 50_000, 8
+# Words of one side that a task walks over, about: a scope's targets and candidates are cut into slices of so many, and of
+# so many rows at least.
+FIRST_WALK, LEAST_ROWS = 2_000_000, 16
 
 
 def candidate_pool(
@@ -49,105 +54,99 @@ def pool_postings(pool: DataFrame) -> DataFrame:
     return pool.select("scope", F.explode_outer("words").alias("word"), "key", "recency")
 
 
-def _held(postings: DataFrame) -> DataFrame:
-    """How many candidates hold each word."""
-    return postings.groupBy("scope", "word").agg(F.count(F.lit(1)).alias("held"))
-
-
-def _target_words(asked: DataFrame, postings: DataFrame) -> DataFrame:
-    """Each target's words that the postings hold, numbered from rare to frequent: ``place`` of ``n``.
+def best_by_bounds(targets: DataFrame, postings: DataFrame, k: int = BEST, first_walk: int = FIRST_WALK) -> DataFrame:
+    """``(target_id, position, key, score)``: the ``k`` candidates sharing most words with each target.
 
-    ``walked`` counts the postings up to the place.
+    Exact. ``postings`` are ``(scope, word, key, recency)``; a slice holds some ``first_walk`` of them. A
+    repeated target or posting counts as often as it is there.
     """
-    mine = Window.partitionBy("target_id")
-    order = mine.orderBy("held", "word")
-    return asked.join(_held(postings), ["scope", "word"]).select(
-        "target_id", "scope", "word", "held", F.row_number().over(order).alias("place"), F.count(F.lit(1)).over(mine).alias("n"),
-        F.sum("held").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("walked"),
-    )
+    words = F.collect_list(F.xxhash64("word")).alias("words")
+    candidates = postings.filter("word is not null").groupBy("scope", "key", "recency").agg(words)
+    return _best(targets, candidates, k, first_walk)
 
 
-def best_by_bounds(targets: DataFrame, postings: DataFrame, k: int = BEST, first_walk: int = FIRST_WALK) -> DataFrame:
-    """``(target_id, position, key, score)``: the ``k`` candidates sharing most words with each target.
+def _hashed(words: str) -> Column:
+    return F.transform(F.filter(words, lambda w: w.isNotNull()), lambda w: F.xxhash64(w)).alias("words")
 
-    Exact. A target whose words have at most ``first_walk`` postings is counted in full. Any
-    other is walked by bounds, see ``_bounded``. ``target_id`` is unique; so are the postings.
-    """
-    # Written, so that its size is known: a small vocabulary is broadcast and the candidates' words are not shuffled.
-    asked = targets.select("target_id", "scope", F.explode_outer("words").alias("word")).filter("word is not null")
-    asked = stage(asked, "asked-words")
-    vocabulary = asked.select("scope", "word").distinct()
-    met = stage(postings.join(vocabulary, ["scope", "word"], "left_semi").select("scope", "word", "key", "recency"), "postings")
-    walks = asked.join(_held(met), ["scope", "word"]).groupBy("target_id").agg(F.sum("held").alias("all"))
-    far = walks.filter(F.col("all") > first_walk).select("target_id")
-    if far.isEmpty():
-        scored = _counted(asked, met)
-    else:
-        far = stage(far, "far-targets")
-        words = stage(_target_words(asked.join(far, "target_id", "left_semi"), met), "target-words")
-        scored = _counted(asked.join(far, "target_id", "left_anti"), met).unionByName(_bounded(words, met, k, first_walk))
-    place = F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("score"), F.desc("recency"), "key"))
-    return scored.withColumn("position", place.cast("bigint")).filter(F.col("position") <= k).select(
-        "target_id", "position", "key", "score"
-    )
 
+def _best(targets: DataFrame, candidates: DataFrame, k: int, walk: int) -> DataFrame:
+    """The best of ``candidates`` ``(scope, key, recency, words)``, whose words are hashed."""
+    asked = targets.select("target_id", "scope", _hashed("words")).groupBy("target_id", "scope")
+    asked = asked.agg(F.flatten(F.collect_list("words")).alias("words"))
+    asked = stage(asked.filter("scope is not null and size(words) > 0"), "asked-words")
+    pool = stage(candidates.filter("scope is not null and size(words) > 0"), "candidate-words")
 
-def _counted(words: DataFrame, postings: DataFrame) -> DataFrame:
-    """Scores of all candidates that hold any of the words."""
-    return _hits(words, postings).select("target_id", "key", "recency", F.col("shared").alias("score"))
+    def cuts(rows: DataFrame, name: str) -> DataFrame:
+        cut = F.least(F.ceil(F.sum(F.size("words")) / walk), F.ceil(F.count(F.lit(1)) / LEAST_ROWS))
+        return rows.groupBy("scope").agg(cut.cast("int").alias(name))
 
+    # Written, so that its size is known: one row a scope, which is broadcast.
+    slices = stage(cuts(asked, "asked_in").join(cuts(pool, "pool_in"), "scope"), "slices")
+    own = lambda column, n: F.pmod(F.xxhash64(column), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(slices, "scope").select(
+        "scope", own("target_id", "asked_in").alias("i"), every("pool_in").alias("j"), "target_id", "words"
+    )
+    right = pool.join(slices, "scope").select(
+        "scope", every("asked_in").alias("i"), own("key", "pool_in").alias("j"), "key", "recency", "words"
+    )
+    fields = [asked.schema["target_id"], pool.schema["key"], T.StructField("recency", L), T.StructField("score", L)]
 
-def _hits(words: DataFrame, postings: DataFrame) -> DataFrame:
-    """How many of the words each candidate holds."""
-    met = words.select("target_id", "scope", "word").join(postings, ["scope", "word"])
-    return met.groupBy("target_id", "scope", "key", "recency").agg(F.count(F.lit(1)).alias("shared"))
+    def count(asking: pa.Table, held: pa.Table) -> pa.Table:
+        return _count(asking, held, k)
 
+    tiles = left.groupBy("scope", "i", "j").cogroup(right.groupBy("scope", "i", "j"))
+    scored = tiles.applyInArrow(count, T.StructType(fields))
+    place = F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("score"), F.desc("recency"), "key"))
+    return scored.withColumn("position", place.cast("bigint")).filter(F.col("position") <= k).select(
+        "target_id", "position", "key", "score"
+    )
 
-def _bounded(words: DataFrame, met: DataFrame, k: int, walk: int) -> DataFrame:
-    """``(target_id, key, recency, score)`` of all candidates that can be among the best ``k``.
 
-    A target of n known words whose k-th best candidate shares at least s of them needs
-    only its n - s + 1 rarest words: whoever holds none of these shares less than s. The
-    counts over a walked prefix give a lower bound of s, which shortens what has to be
-    walked; walks grow ``WIDER``-fold for targets whose last walk would be longer still. Of the
-    most frequent word of a target only the newest ``k`` holders count: whoever holds that word
-    alone scores 1 and has to be among them. What the bounds leave is verified on whole word lists.
-    """
-    last = words.filter("place = n").select("scope", "word").distinct()
-    newest = Window.partitionBy("scope", "word").orderBy(F.desc("recency"), "key")
-    champions = met.join(last, ["scope", "word"], "left_semi").withColumn("_place", F.row_number().over(newest))
-    champions = champions.filter(F.col("_place") <= k).drop("_place")
-
-    def hits(taken: DataFrame) -> DataFrame:
-        both = _hits(taken.filter("place < n"), met).unionByName(_hits(taken.filter("place = n"), champions))
-        return both.groupBy("target_id", "scope", "key", "recency").agg(F.sum("shared").alias("shared"))
-
-    live, bounds = words, []
-    while True:
-        # Places that no bound has ruled out, as far as the walk goes.
-        taken = live.filter((F.col("walked") - F.col("held") < walk) | (F.col("place") == 1))
-        rank = F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("shared")))
-        kth = hits(taken).withColumn("_rank", rank).filter(F.col("_rank") <= k).filter(F.col("_rank") == k)
-        bound = stage(kth.select("target_id", F.col("shared").alias("least")), "bounds")
-        bounds.append(bound)
-        needed = live.join(bound, "target_id", "left").filter("place <= n - coalesce(least, 0) + 1").drop("least")
-        # Settled are those whose remaining need is no longer than the next walk.
-        far = needed.filter((F.col("place") < F.col("n")) & (F.col("walked") > walk * WIDER))
-        live = needed.join(far.select("target_id").distinct(), "target_id", "left_semi")
-        if far.isEmpty():
-            break
-        walk *= WIDER
-
-    least = union_all(bounds).groupBy("target_id").agg(F.max("least").alias("least"))
-    prefix = words.join(least, "target_id", "left").fillna(0, ["least"]).filter("place <= n - least + 1")
-    ends = prefix.groupBy("target_id").agg(F.max("place").alias("reached"), F.max("n").alias("n"), F.max("least").alias("least"))
-    pairs = hits(prefix).join(ends, "target_id").filter("shared + n - least(reached, n - 1) >= greatest(least, 1)")
-    pairs = stage(pairs.select("target_id", "scope", "key", "recency"), "pairs")
-    held = met.join(pairs.select("scope", "key").distinct(), ["scope", "key"], "left_semi")
-    held = held.groupBy("scope", "key").agg(F.collect_list("word").alias("_held"))
-    asked = words.groupBy("target_id").agg(F.collect_list("word").alias("_words"))
-    verified = pairs.join(held, ["scope", "key"]).join(asked, "target_id")
-    return verified.select("target_id", "key", "recency", F.size(F.array_intersect("_words", "_held")).cast("bigint").alias("score"))
+def _lists(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, one after the other, and how many each row has."""
+    column = table.column(name)
+    return pc.list_flatten(column).to_numpy(), pc.list_value_length(column).to_numpy()
+
+
+def _count(asked: pa.Table, pool: pa.Table, k: int) -> pa.Table:
+    """``target_id``, ``key``, ``recency`` and ``score`` of each target's best ``k`` in one slice of candidates."""
+    # Candidates are numbered from the newest on, equal ones to the smaller key; rows of one candidate share a number.
+    order = pc.sort_indices(pool.select(["key", "recency"]), [("recency", "descending"), ("key", "ascending")], null_placement="at_start")
+    pool = pool.take(order)
+    recency = pool.column("recency").to_numpy()
+    keys = pool.column("key").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (recency[1:] != recency[:-1]) | (keys[1:] != keys[:-1])
+    n, first = int(fresh.sum()), np.flatnonzero(fresh)
+
+    words, sizes = _lists(pool, "words")
+    holder = np.repeat(np.cumsum(fresh) - 1, sizes)
+    wanted, asked_sizes = _lists(asked, "words")
+    vocabulary, wanted = np.unique(wanted, return_inverse=True)
+    at = np.searchsorted(vocabulary, words)
+    at[at == len(vocabulary)] = 0
+    met = vocabulary[at] == words if len(vocabulary) else np.zeros(len(words), bool)
+    word, holder = at[met], holder[met]
+    by_word = np.argsort(word, kind="stable")
+    holder, bounds = holder[by_word], np.searchsorted(word[by_word], np.arange(len(vocabulary) + 1)).tolist()
+
+    age, rows, places, scores = np.arange(n), [], [], []
+    ends = np.cumsum(asked_sizes)
+    for row, mine in enumerate(np.split(wanted, ends[:-1])):
+        shared = np.bincount(np.concatenate([holder[:0], *[holder[bounds[w] : bounds[w + 1]] for w in mine.tolist()]]), minlength=n)
+        ranked = shared * n - age
+        best = np.argpartition(ranked, n - k)[n - k :] if k < n else age
+        best = best[shared[best] > 0]
+        rows.append(np.full(len(best), row))
+        places.append(best)
+        scores.append(shared[best])
+    rows, places, scores = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (rows, places, scores))
+    found = first[places]
+    return pa.table({
+        "target_id": asked.column("target_id").take(pa.array(rows)), "key": pool.column("key").take(pa.array(found)),
+        "recency": pa.array(recency[found], pa.int64()), "score": pa.array(scores, pa.int64()),
+    })
 
 
 def token_overlap(targets: DataFrame, pool: DataFrame, k: int = BEST) -> DataFrame:
@@ -156,7 +155,7 @@ def token_overlap(targets: DataFrame, pool: DataFrame, k: int = BEST) -> DataFra
     ``targets`` are ``(target_id, scope, words)``, ``pool`` is a ``candidate_pool``. Equal
     scores go to the newer candidate, then to the smaller key.
     """
-    return best_by_bounds(targets, pool_postings(pool), k)
+    return _best(targets, pool.select("scope", "key", "recency", _hashed("words")), k, FIRST_WALK)
 
 
 def top_k(scored: DataFrame, k: int = BEST) -> DataFrame:

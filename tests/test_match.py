@@ -51,6 +51,25 @@ def test_overlap(sides, walk, k):
     assert got == {tid: ranked[:k] for tid, ranked in best.items() if ranked}
 
 
+def test_no_pairs_are_shuffled(spark, sides):
+    """What is shuffled for the counts are words of both sides and results: no row for each target and candidate in common."""
+    targets, pool, _ = sides
+    plan = M.token_overlap(targets, pool, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "HashAggregate" not in plan
+
+
+def test_repeated_and_null_keys(spark):
+    """Repeated rows count as often as they are there, a null key or target is one like any other."""
+    targets = spark.createDataFrame([(1, "s", ["a", "b"]), (1, "s", ["a"]), (None, "s", ["b"]), (2, None, ["a"]), (3, "s", None)], "target_id int, scope string, words array<string>")
+    pool = spark.createDataFrame(
+        [("x", "s", 5, ["a"]), ("x", "s", 5, ["a", "b"]), (None, "s", 5, ["a", "b", None]), ("y", "s", 6, ["b"]), ("z", None, 9, ["a"])],
+        "key string, scope string, recency bigint, words array<string>",
+    )
+    want = [(1, 1, "x", 5), (1, 2, None, 3), (1, 3, "y", 1), (None, 1, "y", 1), (None, 2, None, 1), (None, 3, "x", 1)]
+    for found in (M.token_overlap(targets, pool, 3), M.best_by_bounds(targets, M.pool_postings(pool), 3, 1)):
+        assert sorted((tuple(r) for r in found.collect()), key=str) == sorted(want, key=str)
+
+
 def _request(spark, rows):
     schema = schemas.T.StructType([schemas.T.StructField("id", schemas.I), *schemas.REQUESTS.fields])
     form = [None] * 9
