@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.text import tokens
 from caseloom.operators.keyed import union_all
-from caseloom.operators.match import BEST, best_by_bounds, candidate_pool, pool_postings
+from caseloom.operators.match import BEST, FIRST_WALK, best_of, candidate_pool, pool_postings
 from caseloom.schemas import T
+from caseloom.sources.tables import stage
 
 # Folders that stored postings are dealt into by word.
 BUCKETS = 256
@@ -35,10 +36,12 @@ def change_index(live: DataFrame, cases: DataFrame, touched: list[DataFrame], ve
     """The postings to add and the live versions after changes to the ``case_number``s of ``touched``.
 
     ``cases`` is the state after the changes, of which only touched cases are read; ``version``
-    must be above all earlier ones.
+    must be above all earlier ones. These are written, so that the changes are not computed for the postings and the versions both.
     """
     numbers = union_all([t.select("case_number") for t in touched]).distinct()
-    added, fresh = index_cases(cases.join(numbers, "case_number", "left_semi"), version)
+    columns = ["scope", "case_number", "updated_at", "search_text", "learning_eligible"]
+    changed = cases.filter("learning_eligible").select(columns).join(numbers, "case_number", "left_semi")
+    added, fresh = index_cases(stage(changed, "changed-cases"), version)
     kept = live.join(numbers.withColumnRenamed("case_number", "key"), "key", "left_anti")
     return added, kept.unionByName(fresh)
 
@@ -56,15 +59,17 @@ def read_postings(spark: SparkSession, path: str, key_type: str = "string") -> D
 
 
 def live_postings(postings: DataFrame, live: DataFrame) -> DataFrame:
-    """Postings of valid versions; writing these to a new folder compacts an index."""
+    """Postings, or cases put together from them, of valid versions; writing postings to a new folder compacts an index."""
     return postings.join(live, ["key", "version"], "left_semi")
 
 
 def similar_by_index(targets: DataFrame, postings: DataFrame, live: DataFrame, k: int = BEST) -> DataFrame:
     """The best cases for targets ``(target_id, scope, words)``, as ``similar_cases`` gives them, from a stored index.
 
-    Only folders and row groups of the targets' own words are read.
+    Only folders and row groups of the targets' own words are read. Cases are put together from hashed words
+    before their versions are looked up, so that one row a case meets ``live``.
     """
     asked = targets.select("scope", F.explode("words").alias("word")).distinct().withColumn("bucket", _bucket())
-    own = live_postings(postings.join(asked, ["bucket", "scope", "word"], "left_semi"), live)
-    return best_by_bounds(targets, own.select("scope", "word", "key", "recency"), k).withColumnRenamed("key", "case_number")
+    own = postings.join(asked, ["bucket", "scope", "word"], "left_semi").groupBy("scope", "key", "recency", "version")
+    cases = live_postings(own.agg(F.collect_list(F.xxhash64("word")).alias("words")), live)
+    return best_of(targets, cases.drop("version"), k, FIRST_WALK).withColumnRenamed("key", "case_number")

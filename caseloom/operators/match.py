@@ -62,14 +62,14 @@ def best_by_bounds(targets: DataFrame, postings: DataFrame, k: int = BEST, first
     """
     words = F.collect_list(F.xxhash64("word")).alias("words")
     candidates = postings.filter("word is not null").groupBy("scope", "key", "recency").agg(words)
-    return _best(targets, candidates, k, first_walk)
+    return best_of(targets, candidates, k, first_walk)
 
 
 def _hashed(words: str) -> Column:
     return F.transform(F.filter(words, lambda w: w.isNotNull()), lambda w: F.xxhash64(w)).alias("words")
 
 
-def _best(targets: DataFrame, candidates: DataFrame, k: int, walk: int) -> DataFrame:
+def best_of(targets: DataFrame, candidates: DataFrame, k: int, walk: int) -> DataFrame:
     """The best of ``candidates`` ``(scope, key, recency, words)``, whose words are hashed."""
     asked = targets.select("target_id", "scope", _hashed("words")).groupBy("target_id", "scope")
     asked = asked.agg(F.flatten(F.collect_list("words")).alias("words"))
@@ -155,7 +155,7 @@ def token_overlap(targets: DataFrame, pool: DataFrame, k: int = BEST) -> DataFra
     ``targets`` are ``(target_id, scope, words)``, ``pool`` is a ``candidate_pool``. Equal
     scores go to the newer candidate, then to the smaller key.
     """
-    return _best(targets, pool.select("scope", "key", "recency", _hashed("words")), k, FIRST_WALK)
+    return best_of(targets, pool.select("scope", "key", "recency", _hashed("words")), k, FIRST_WALK)
 
 
 def top_k(scored: DataFrame, k: int = BEST) -> DataFrame:

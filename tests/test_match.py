@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom import schemas
 from caseloom.functions.text import tokens
+from caseloom.operators import case_index as I
 from caseloom.operators import match as M
 from caseloom.sources.tables import conform
 from tests.helpers import at, dicts
@@ -70,6 +71,32 @@ def test_repeated_and_null_keys(spark):
         assert sorted((tuple(r) for r in found.collect()), key=str) == sorted(want, key=str)
 
 
+def test_index_counts_in_tasks(spark, sides):
+    """From stored postings of two versions: only the valid one counts, and no hits are shuffled."""
+    targets, pool, best = sides
+    postings = M.pool_postings(pool).withColumn("version", F.lit(1).cast("bigint"))
+    stale = postings.withColumn("version", F.lit(0).cast("bigint")).withColumn("recency", F.col("recency") + 1)
+    stored = stale.unionByName(postings).withColumn("bucket", I._bucket())
+    found = I.similar_by_index(targets, stored, pool.selectExpr("key", "1L as version"), 3)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in dicts(found, "target_id", "position"):
+        got.setdefault(r["target_id"], []).append((r["case_number"], r["score"]))
+    assert got == {tid: ranked[:3] for tid, ranked in best.items() if ranked}
+
+
+def test_changes_are_computed_once(spark, sides):
+    """Postings and live versions of a change come from written cases, not each from the changes' whole plan."""
+    _, pool, _ = sides
+    cases = pool.selectExpr("scope", "key as case_number", "timestamp_micros(recency) as updated_at", "array_join(words, ' ') as search_text", "key < 'k050' as learning_eligible")
+    live = cases.selectExpr("case_number as key", "0L as version")
+    touched = [cases.filter("case_number >= 'k040'")]
+    postings, after = I.change_index(live, cases.repartition(2, "scope"), touched, 1)
+    assert "Exchange" not in postings._jdf.queryExecution().executedPlan().toString()
+    assert {r.key for r in postings.collect()} == {f"k{i:03}" for i in range(40, 50)}
+    assert {(r.key, r.version) for r in after.collect()} == {(f"k{i:03}", int(i >= 40)) for i in range(50)}
+
+
 def _request(spark, rows):
     schema = schemas.T.StructType([schemas.T.StructField("id", schemas.I), *schemas.REQUESTS.fields])
     form = [None] * 9
