@@ -98,7 +98,6 @@ def encode(ids: np.ndarray) -> list[bytes]:
     columns = np.zeros((n, BLOCK), np.int32)
     columns.ravel()[: len(ids)] = ids
     columns = np.ascontiguousarray(columns.T)
-    width = np.frexp(columns.astype(np.float64))[1].astype(np.int64)
     model, lane = _Model(n), np.arange(n)
     low, span = np.zeros(n, np.uint64), np.full(n, 1 << 48, np.uint64)
     words, used = np.zeros((n, 2 * BLOCK + 8), np.uint16), np.zeros(n, np.int64)
@@ -123,7 +122,8 @@ def encode(ids: np.ndarray) -> list[bytes]:
             span[rows] <<= np.uint64(16)
 
     for step, m in enumerate(_lengths(n, len(ids)).tolist()):
-        now, bits = columns[step, :m], width[step, :m]
+        now = columns[step, :m]
+        bits = np.frexp(now.astype(np.float64))[1].astype(np.int64)
         model.predict(m)
         hit2, hit1 = (model.e2 & 3 > 0) & (model.e2 >> 2 == now), (model.e1 & 3 > 0) & (model.e1 >> 2 == now)
         symbol = np.where(hit2, 0, np.where(hit1, 1, bits + 2))
@@ -287,4 +287,5 @@ def read_ids(written: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return written.join(starts, ["bucket", "segment"]).select("bucket", "ahead", "doc_ids", "counts", "blocks").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # One row for each segment, of millions of ids: broadcast, so that no block is shuffled or sorted.
+    return written.join(F.broadcast(starts), ["bucket", "segment"]).select("bucket", "ahead", "doc_ids", "counts", "blocks").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -90,6 +90,17 @@ def test_id_files(spark):
     assert range_coder.read_ids(range_coder.write_ids(empty_docs(spark), WORDS, end_id=2)).count() == 0
 
 
+def test_blocks_are_not_shuffled(spark):
+    """Reading finds each segment's start without sorting or shuffling blocks, whatever Spark would broadcast by itself."""
+    written = range_coder.write_ids(awkward_docs(spark), WORDS, end_id=2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = range_coder.read_ids(written)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def _luhn(digits):
     return sum(v - 9 * (v > 9) for i, c in enumerate(reversed(digits)) for v in [int(c) * (1 + i % 2)]) % 10 == 0
 
