@@ -17,9 +17,10 @@ table, give no rule and the verdict "allow". A rule listed as both "block" and "
 blocks. Of two fitting rules of equal length the one with the longer host wins.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,6 +100,17 @@ def filter_words(keys: DataFrame, n: int, level: int = 0, most_bytes: int = MOST
     return words
 
 
+def likely_among(keys: DataFrame, most_bytes: int = 16 << 20) -> Callable[..., Column]:
+    """A function of two columns that is true for all of ``keys`` (``g1``, ``g2``; written) and for few others, by a filter of at most ``most_bytes``."""
+    words = keys.sparkSession.sparkContext.broadcast(filter_words(keys, keys.count(), most_bytes=most_bytes))
+
+    @F.pandas_udf("boolean")
+    def likely(g1: pd.Series, g2: pd.Series) -> pd.Series:
+        return pd.Series(passes(words.value, g1.to_numpy(), g2.to_numpy(), 0))
+
+    return likely
+
+
 def _let_through(keys: DataFrame, words: np.ndarray, level: int) -> DataFrame:
     shared = keys.sparkSession.sparkContext.broadcast(words)
 

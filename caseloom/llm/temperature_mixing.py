@@ -112,19 +112,30 @@ def quotas(sources: DataFrame, exponent: float, budget: float | None = None) ->
     return powered.select("source", "tokens", "docs", weight.alias("weight"), quota.alias("quota"))
 
 
-def place(sized: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
-    """Every placing of a row: the columns of ``sized`` (``row``, ``key``, ``source``, ``n_tokens`` and others),
-    ``pass``, ``block``, ``rank`` within the block and ``slot``."""
+def _block_of(plan: DataFrame, seed: int) -> tuple[DataFrame, Column]:
+    """What dealing needs of the plan, its sources as ``_s``; the block of a ``key`` of a source."""
     passes = F.when(F.col("tokens") > 0, F.floor((F.col("quota") - 1) / F.greatest("tokens", F.lit(1))).cast("int")).otherwise(0)
     plan = plan.select(
         F.col("source").alias("_s"), "tokens", "quota", F.greatest(passes, F.lit(0)).alias("last"), F.ceil(F.col("docs") / F.lit(BLOCK)).cast("int").alias("blocks")
     )
-    dealt = sized.join(plan, F.col("source").eqNullSafe(F.col("_s"))).withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("blocks")).cast("int"))
+    return plan, F.pmod(F.xxhash64("key", F.lit(seed)), F.col("blocks")).cast("int")
+
+
+def _in_blocks(sized: DataFrame, plan: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``sized`` with its source's plan and ``block``, written; and for every block and pass its ``size`` in tokens and the tokens ``before`` it."""
+    plan, block = _block_of(plan, seed)
+    dealt = sized.join(plan, F.col("source").eqNullSafe(F.col("_s"))).withColumn("block", block)
     dealt = stage(dealt.drop("blocks"), "mixing-dealt")
     totals = dealt.groupBy("_s", "block", "tokens", "quota", "last").agg(F.sum("n_tokens").alias("size"))
     each = totals.withColumn("pass", F.explode(F.sequence(F.lit(0), "last")))
     order = Window.partitionBy("_s", "pass").orderBy(F.xxhash64("block", "pass", F.lit(seed)), "block").rowsBetween(Window.unboundedPreceding, -1)
-    begun = each.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("pass") * F.col("tokens"))
+    return dealt, each.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("pass") * F.col("tokens"))
+
+
+def place(sized: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
+    """Every placing of a row: the columns of ``sized`` (``row``, ``key``, ``source``, ``n_tokens`` and others),
+    ``pass``, ``block``, ``rank`` within the block and ``slot``."""
+    dealt, begun = _in_blocks(sized, plan, seed)
     # A block that begins behind the quota holds nothing but, in the first pass, documents without tokens.
     kept = begun.where("before < quota or pass = 0").select(F.col("_s").alias("_s2"), F.col("block").alias("_b"), "pass", "before")
     placed = dealt.join(kept, F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("block") == F.col("_b")))
@@ -152,19 +163,37 @@ def mixture(docs: DataFrame, target_entropy: float | None = None, repetition_lim
 
 
 def realise(docs: DataFrame, target_entropy: float | None = None, repetition_limit: float | None = None, budget: float | None = None, seed: int = 17) -> DataFrame:
-    """The rows of ``docs`` as often as the mixture places them, with the columns of ``docs``."""
+    """The rows of ``docs`` as often as the mixture places them, with the columns of ``docs``.
+
+    A pass takes nearly all blocks whole: their rows follow from the block alone. Only rows of blocks
+    that a quota cuts are shuffled, to be looked up one by one. ``docs`` is read twice and not written.
+    """
     columns = docs.columns
-    rows = stage(
-        docs.select(
-            F.struct(*[F.col(f"`{c}`") for c in columns]).alias("r"),
-            F.monotonically_increasing_id().alias("row"),
-            F.col("source").cast("string").alias("source"),
-            F.xxhash64("doc_id", "text").alias("key"),
-            count_tokens(F.col("text")).alias("n_tokens"),
-        ),
-        "mixing-rows",
-    )
-    sized = rows.drop("r")
-    placed = place(sized, _planned(sized, target_entropy, repetition_limit, budget), seed)
-    copies = placed.groupBy("row").agg(F.count("*").cast("int").alias("copies"))
-    return rows.join(copies, "row").select("r", F.explode(F.sequence(F.lit(1), "copies"))).select(*[F.col(f"r.`{c}`").alias(c) for c in columns])
+    source, key = F.col("source").cast("string"), F.xxhash64("doc_id", "text")
+    sized = stage(docs.select(source.alias("source"), key.alias("key"), count_tokens(F.col("text")).alias("n_tokens")), "mixing-sizes")
+    plan = _planned(sized, target_entropy, repetition_limit, budget)
+    dealt, begun = _in_blocks(sized, plan, seed)
+    whole = F.expr("before + size < quota or (pass = 0 and before + size <= quota)")
+    begun = stage(begun.where("before < quota or pass = 0").withColumn("whole", whole), "mixing-passes")
+    blocks = stage(begun.groupBy("_s", "block").agg(F.count_if("whole").cast("int").alias("whole"), F.count_if(~F.col("whole")).cast("int").alias("cut")), "mixing-blocks")
+
+    # Equal rows of a cut block are one entry; ``taken`` of them fit under the quota.
+    cuts = begun.where("not whole").select(F.col("_s").alias("_s2"), F.col("block").alias("_b"), "pass", "before")
+    entries = dealt.join(cuts, F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("block") == F.col("_b")))
+    entries = entries.groupBy("_s", "block", "pass", "before", "quota", "key", "n_tokens").agg(F.count("*").alias("rows"))
+    inside = Window.partitionBy("_s", "block", "pass").orderBy(F.xxhash64("key", "pass", F.lit(seed + 1)), "key", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    entries = entries.withColumn("room", F.expr("quota - before") - F.coalesce(F.sum(F.expr("rows * n_tokens")).over(inside), F.lit(0)))
+    taken = F.expr("if(n_tokens = 0, if(room > 0 or pass = 0, rows, 0), least(rows, greatest(0, ceil(room / greatest(n_tokens, 1)))))")
+    entries = stage(entries.groupBy(F.col("_s").alias("_s3"), F.col("key").alias("_k")).agg(F.collect_list(taken).alias("taken")), "mixing-cut")
+
+    sources, block = _block_of(plan, seed)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("r"), source.alias("source"), key.alias("key"))
+    rows = rows.join(sources, F.col("source").eqNullSafe(F.col("_s"))).select("r", "source", "key", block.alias("block"))
+    rows = rows.join(blocks.withColumnRenamed("block", "_b"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
+    placed = rows.where("cut = 0").select("r", F.col("whole").alias("copies"))
+    one_of = F.row_number().over(Window.partitionBy("source", "key").orderBy("key"))
+    partly = rows.where("cut > 0").select("r", "source", "key", "whole", one_of.alias("nth"))
+    partly = partly.join(entries, F.col("source").eqNullSafe(F.col("_s3")) & (F.col("key") == F.col("_k")))
+    partly = partly.select("r", F.expr("whole + size(filter(taken, t -> t >= nth))").alias("copies"))
+    copied = placed.unionByName(partly).where("copies > 0")
+    return copied.select("r", F.explode(F.sequence(F.lit(1), "copies"))).select(*[F.col(f"r.`{c}`").alias(c) for c in columns])

@@ -20,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import byte_cnn, chunk_table, ngram_join, pii_bootstrap, temperature_mixing
+from caseloom.llm import bloom_cascade, byte_cnn, chunk_table, ngram_join, pii_bootstrap, temperature_mixing
 from caseloom.llm.common import bounded_batches, table
 from caseloom.sources.tables import collected, release, stage
 
@@ -62,13 +62,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("id"), "text")
     groups = ngram_join.jaccard_components(keyed.select(F.col("key").alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT)
     members = keyed.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"))
-    members = members.join(groups.select(F.col("doc_id").alias("key"), "component_id").distinct(), "key")
+    members = stage(members.join(groups.select(F.col("doc_id").alias("key"), "component_id").distinct(), "key"), "members")
     first = F.min(F.struct(F.col("id").isNull(), "id", "key", "rows")).alias("first")
     kept = stage(members.groupBy("component_id").agg(first).select("first.key", "first.rows"), "kept")
+    # All other rows are kept as they are; only these are looked up, which may shuffle their texts.
+    other = members.select("key", "rows").join(kept.where("rows = 1").select("key"), "key", "left_anti")
+    likely = bloom_cascade.likely_among(stage(other.select(F.col("key").alias("g1"), F.xxhash64("key").alias("g2")), "not-kept"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("row"), key.alias("key"))
-    single = whole.join(kept.where("rows = 1").select("key"), "key", "left_semi").select("row")
+    whole = whole.withColumn("likely", likely("key", F.xxhash64("key")))
+    sure, doubted = whole.where("not likely").select("row"), whole.where("likely").select("row", "key")
+    single = doubted.join(kept.where("rows = 1").select("key"), "key", "left_semi").select("row").unionByName(sure)
     # Repeated rows: one of each, combined before the shuffle; no other text is shuffled for it.
-    repeated = whole.join(kept.where("rows > 1").select("key"), "key", "left_semi").groupBy("key").agg(F.first("row").alias("row"))
+    repeated = doubted.join(kept.where("rows > 1").select("key"), "key", "left_semi").groupBy("key").agg(F.first("row").alias("row"))
     return single.unionByName(repeated.select("row")).select("row.*")
 
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseloom.llm import bloom_cascade, components, edit_embedding, ngram_join, permutation_index, shingles, sketch, temperature_mixing
+from caseloom.sources.tables import collected
 from tests.llm.cases import awkward_docs, empty_docs, near_copies, rows_of
 
 
@@ -127,6 +128,28 @@ def test_jaccard_set_first_met_without_an_id(spark):
     assert got == [(None, 58, 3), (None, 59, None), (3, 58, 3), (7, 58, 3), (9, 4, 9)]
 
 
+def test_rows_of_large_groups_are_in_few_tiles(spark):
+    """Bitmaps are compared in wide tiles: a row is copied the less often; every pair still meets."""
+    nodes = spark.range(4000).selectExpr("id", "300L as n", "7L as root")
+    placed = [set(r.tiles) for r in ngram_join._in_tiles(nodes, 80, ngram_join.WIDE).select("tiles").collect()]
+    assert len(placed) == 4000 and max(map(len, placed)) <= 5
+    assert all(placed[i] & placed[j] for i in range(0, 4000, 97) for j in range(0, 4000, 89))
+    long = nodes.withColumn("n", F.lit(ngram_join.VOLUME // 100))  # Long sets: as narrow as before.
+    assert min(len(r.tiles) for r in ngram_join._in_tiles(long, 80, ngram_join.WIDE).select("tiles").collect()) > 20
+
+
+def test_survivors_of_bitmaps_hold_all_links():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**62, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: 400 - k], rng.integers(0, 2**62, k).astype(np.uint64)])) for k in [0, 5, 10, 20, 150, 390] * 3]
+    bits, sizes = [ngram_join.parity_bits(s) for s in sets], np.array([len(s) for s in sets])
+    forest = ngram_join.tile_survivors(np.arange(len(sets)) + 100, sizes, bits, 80)
+    reached = {100}
+    for _ in sets:
+        reached |= {y for pair in forest for y in pair if reached & set(pair)}
+    assert {100 + i for i in range(len(sets)) if i % 6 < 4} <= reached and len(forest) < len(sets)
+
+
 def test_sketch_counts_every_row(spark):
     texts = near_copies()
     docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(70)
@@ -171,6 +194,19 @@ def test_mixture(spark, monkeypatch):
     assert temperature_mixing.realise(awkward_docs(spark)).count() == 15 and temperature_mixing.mixture(empty_docs(spark)).count() == 0
 
 
+@pytest.mark.parametrize("budget", [None, 40, 95, 300])
+def test_realised_rows_are_the_mixture(spark, monkeypatch, budget):
+    """Blocks taken whole and blocks that a quota cuts; equal rows, rows without words; texts are not staged."""
+    monkeypatch.setattr(temperature_mixing, "BLOCK", 3)
+    rows = [(i, "a b " * (i % 4), "s" if i % 5 else None) for i in range(40)] + [(1, "a b ", "s")] * 7 + [(2, "a b a b ", None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = temperature_mixing.mixture(docs, repetition_limit=3.0 if budget is None else None, budget=budget)
+    with collected() as made:
+        got = temperature_mixing.realise(docs, repetition_limit=3.0 if budget is None else None, budget=budget)
+    assert rows_of(got, "doc_id", "source") == rows_of(want, "doc_id", "source")
+    assert made and not any({"r", "text"} & set(spark.read.parquet(path).columns) for path in made)
+
+
 def test_fingerprints(spark):
     docs = awkward_docs(spark)
     rows = sorted(docs.collect(), key=lambda r: (-(r.doc_id if r.doc_id is not None else -9), r.text or ""))
