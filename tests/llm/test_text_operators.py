@@ -45,6 +45,17 @@ def test_piece_table_stays_within_its_bound():
     assert table.encoded([["d", "e"]]) == [b"de"] and table.encoded([["f"]]) == [b"f"] and len(table.known) == 1
 
 
+def test_piece_table_keeps_frequent_strings_in_little_room():
+    asked = []
+    table = chunk_table.PieceTable(lambda words: asked.extend(words) or [w.encode() for w in words], limit=8)
+    for i in range(100):
+        assert table.encoded([["often", f"w{i}"]]) == [f"oftenw{i}".encode()]
+        assert len(table.known.keys() | table.older.keys()) <= 10
+    assert asked.count("often") == 1
+    # Two workers of an executor hold their tables beside whatever the heap has grown to.
+    assert chunk_table.PieceTable(list).limit <= 200_000
+
+
 def test_count_viterbi_is_the_unigram_tokenizer(spark):
     library = Tokenizer(models.Unigram(count_viterbi.vocabulary(PIECES), unk_id=0, byte_fallback=True))
     library.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
