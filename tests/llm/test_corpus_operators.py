@@ -271,6 +271,41 @@ def test_pairs_alike_are_those_of_the_likeness():
     assert all(10 * min(prints[i].ticks, prints[j].ticks) >= 6 * max(prints[i].ticks, prints[j].ticks) for i, j in map(tuple, want))
 
 
+def test_rows_are_in_tiles_of_a_class_only_where_sizes_can_link(spark):
+    sizes = [int(50 * 1.012**i) for i in range(600)]
+    nodes = spark.createDataFrame([(i, n, 1) for i, n in enumerate(sizes)], "id long, n long, root long")
+    placed = {r.id: set(r.tiles) for r in ngram_join._in_tiles(nodes, 60, 400).collect()}
+    assert all(placed[i] & placed[j] for i, n in enumerate(sizes) for j in range(i) if 10 * sizes[j] >= 6 * n)
+    # A class spans two steps of 1 / t: no row can link with the class above and the one below.
+    assert len(placed) == 600 and max(len({c for t in tiles for c in t.split(":")[1:3]}) for tiles in placed.values()) == 2
+
+
+def test_sketches_rule_out_no_pair_that_is_alike():
+    rng = np.random.default_rng(4)
+    texts = ["", "a", "b", "ab", "the same " * 7, "the same " * 8]
+    for size in (3, 30, 400, 2000):
+        for _ in range(12):
+            text = "".join(rng.choice(list("abcdefgh rst"), int(size * rng.uniform(0.5, 1.5)) + 1))
+            cut = int(rng.integers(len(text)))
+            texts += [text, text[:cut] + "zz" + text[cut + int(rng.integers(9)) :], text[: int(len(text) * rng.uniform(0.7, 1)) + 1]]
+    prints = edit_embedding.fingerprints(texts)
+    assert [str(edit_embedding.Print.unpack(p.ticks, p.packed())) for p in prints] == list(map(str, prints))
+
+    def groups(pairs):
+        root = list(range(len(texts)))
+        for a, b in pairs:
+            root = [root[a] if r == root[b] else r for r in root]
+        return root
+
+    for least in (0.6, 0.8, 0.95):
+        pairs = edit_embedding.alike(prints, least).tolist()
+        left = groups(edit_embedding.thinned(np.array([p.ticks for p in prints]), edit_embedding.sketches(prints), least))
+        assert len(pairs) > 20 and all(left[a] == left[b] for a, b in pairs)
+        assert least < 0.8 or len(set(left)) > len(texts) // 4  # Other texts are told apart by a few words for each, so fingerprints are not copied to tiles.
+        found, want = (groups(x) for x in (edit_embedding.alike_forest(prints, least), pairs))
+        assert len({*zip(found, want)}) == len(set(found)) == len(set(want))
+
+
 def test_mixing_targets_out_of_reach(spark):
     """An error instead of a plan; a narrow but reachable pair of targets is met."""
     sources = spark.createDataFrame([("a", 1000), ("b", 100), ("c", 10)], "source string, tokens long")
