@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from caseloom.llm.chunk_table import MARK, codec
-from caseloom.llm.common import small_batches, texts
+from caseloom.llm.common import encode_joined, small_batches, texts
 from caseloom.llm.shingles import mix
 from caseloom.sources.tables import stage
 
@@ -62,7 +62,7 @@ class Aligner:
     """Ids of whole texts under both tokenizers, from a bounded table of runs."""
 
     #: White space before a space, or a space in front: there a run goes on.
-    JOINED = re.compile(r"\s |^ ")
+    JOINED = re.compile(r" (?:(?<=\s )|(?<=^ ))")
     AT_ONCE = 4_000  # New runs that the libraries are given at a time.
 
     def __init__(self, a_file: str, b_file: str, limit: int = 220_000, longest: int = 64):
@@ -102,21 +102,25 @@ class Aligner:
                 out.append(word)
         return out
 
+    def _a_ids(self, runs: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch_fast([" " + run for run in runs], add_special_tokens=False)]
+
+    def _a_each(self, runs: list[str]) -> list[bytes]:
+        return [np.array(ids, "<u4").tobytes() for ids in self._a_ids(runs)]
+
     def _new(self, words: list[str]) -> list[bytes | None]:
         """A's ids, then B's with the top bit set; None where they do not give back the run."""
-        raw = [b" " + w.encode() for w in words]
-        a = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
-        b = self.codec._segment(words)
-        flat = np.fromiter((i for ids in a for i in ids), "<u4")
-        marked = (np.frombuffer(b"".join(b), "<u4") | np.uint32(1 << 31)).tobytes()
-        a_code, out, i, j = flat.tobytes(), [], 0, 0
-        for ids, code in zip(a, b):
-            out.append(a_code[i : i + 4 * len(ids)] + marked[j : j + len(code)])
-            i, j = i + 4 * len(ids), j + len(code)
-        whole = b"".join(raw)
-        if b"".join([self.a_bytes[i] for i in flat.tolist()]) != whole or b"".join([self.b_bytes[i] for i in np.frombuffer(b"".join(b), "<u4").tolist()]) != whole:
-            for at, (ids, code, run) in enumerate(zip(a, b, raw)):
-                if b"".join([self.a_bytes[i] for i in ids]) != run or b"".join([self.b_bytes[i] for i in np.frombuffer(code, "<u4").tolist()]) != run:
+        a, b = encode_joined(words, self._a_ids, self._a_each, self.a_length), self.codec._segment(words)
+        flat_a, flat_b = (np.frombuffer(b"".join(side), "<u4") for side in (a, b))
+        marked, out, at = (flat_b | np.uint32(1 << 31)).tobytes(), [], 0
+        for one, two in zip(a, b):
+            out.append(one + marked[at : at + len(two)])
+            at += len(two)
+        spelt = lambda table, ids: b"".join([table[i] for i in ids.tolist()])
+        whole = b"".join([b" " + w.encode() for w in words])
+        if spelt(self.a_bytes, flat_a) != whole or spelt(self.b_bytes, flat_b) != whole:
+            for at, (one, two, word) in enumerate(zip(a, b, words)):
+                if any(spelt(table, np.frombuffer(code, "<u4")) != b" " + word.encode() for table, code in ((self.a_bytes, one), (self.b_bytes, two))):
                     out[at] = None
         return out
 

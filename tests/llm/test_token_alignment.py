@@ -11,6 +11,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from caseloom.llm import token_alignment as ta
+from caseloom.llm.common import encode_joined
 from tests.llm.cases import awkward_docs, empty_docs
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -123,6 +124,31 @@ def test_perfect_hash():
     assert bits < 5 * len(own)
 
 
+def test_new_runs_share_texts_of_the_library(monkeypatch):
+    """Runs are encoded many to a text, and each has the ids that it has by itself."""
+    rng = random.Random(8)
+    words = list({"".join(rng.choices("abcdeé9'.-", k=rng.randint(1, 9))) for _ in range(3000)}) + ["", "x\n", " y", "\nz", "a  b", "<s>", "\x85", "\xa0q"]
+    rng.shuffle(words)
+    work, asked = ta.Aligner(A, B), []
+    a_ids, b_each = work._a_ids, work.codec._each
+    monkeypatch.setattr(work, "_a_ids", lambda runs: asked.extend(runs) or a_ids(runs))
+    monkeypatch.setattr(work.codec, "_each", lambda runs: asked.extend(runs) or b_each(runs))
+    got = work._new(words)
+    assert len(asked) < len(words) / 20
+    assert got == [work._new([w])[0] for w in words]
+
+
+def test_joined_runs_that_do_not_fit_are_encoded_alone():
+    """A tokenizer of characters that writes "q" as an id of two bytes: a text that holds it is not cut."""
+    ids = lambda text: [9 if c == "q" else ord(c) - 87 if c != " " else 0 for c in text]
+    each = lambda runs: [np.array(ids(" " + r), "<u4").tobytes() for r in runs]
+    lengths = np.ones(40, np.int64)
+    lengths[9] = 2
+    for runs in (["a", "bb", "", "c"], ["a", "q", "bb", "cq", "d"], [""], [], ["q"]):
+        for at_once in (1, 2, 250):
+            assert encode_joined(runs, lambda found: [ids(" " + t) for t in found], each, lengths, at_once) == each(runs)
+
+
 def test_runs_are_kept_in_two_generations():
     """A table that overflows all the time gives the same ids, and forgets only what was not met again."""
     rng = random.Random(6)
