@@ -17,6 +17,7 @@ table, give no rule and the verdict "allow". A rule listed as both "block" and "
 blocks. Of two fitting rules of equal length the one with the longer host wins.
 """
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,6 +30,7 @@ from caseloom.sources.tables import stage
 
 BITS_PER_KEY, HASHES = 8, 5
 MOST_BYTES = 64 << 20
+KEYS_PER_WORD, MOST_WORDS = 4, 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -111,6 +113,21 @@ def likely_among(keys: DataFrame, most_bytes: int = 16 << 20) -> Callable[..., C
     return likely
 
 
+def mark_likely(rows: DataFrame, keys: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
+    """``rows`` (with ``g1``, ``g2``) and the flag ``likely``, true for all ``keys`` (written) and for few others.
+
+    DataFrame functions alone: ``g1`` names a key's 64-bit word of the filter, ``g2`` its bits there. At most
+    ``most_words`` words are broadcast; beyond, more rows are taken for likely.
+    """
+    n = max(1, min(most_words, -(-keys.count() // KEYS_PER_WORD)))
+    word = F.pmod("g1", F.lit(n)).alias("word")
+    bit = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("g2", 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(4)]
+    mask = functools.reduce(Column.bitwiseOR, bit)
+    words = stage(keys.groupBy(word).agg(F.bit_or(mask).alias("bits")), "likely-words")
+    marked = rows.withColumn("word", word).join(F.broadcast(words), "word", "left")
+    return marked.select(*rows.columns, F.coalesce(F.col("bits").bitwiseAND(mask) == mask, F.lit(False)).alias("likely"))
+
+
 def _let_through(keys: DataFrame, words: np.ndarray, level: int) -> DataFrame:
     shared = keys.sparkSession.sparkContext.broadcast(words)
 

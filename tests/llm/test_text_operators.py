@@ -8,9 +8,10 @@ import zlib
 import numpy as np
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, normalizers
 
-from caseloom.llm import byte_cnn, chunk_table, count_viterbi, pii_bootstrap, range_coder
+from caseloom.llm import bloom_cascade, byte_cnn, chunk_table, count_viterbi, pii_bootstrap, range_coder
 from caseloom.sources.tables import collected
 from tests.llm.cases import AWKWARD, awkward_docs, empty_docs, rows_of
 
@@ -191,6 +192,23 @@ def test_redact_shuffles_texts_with_identifiers_only(spark):
     assert all("@example.com" not in t for _, t in got) and len({t for i, t in got if i in (2000, 2001)}) == 1
 
 
+def test_redact_runs_no_python(spark):
+    docs = spark.createDataFrame([(i, f"Ask, contact: user{i}@example.com now") for i in range(12)], "doc_id long, text string")
+    plan = pii_bootstrap.redact(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_marked_rows_hold_all_keys_and_few_others(spark):
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("g1"), F.xxhash64(F.lit(1), "id").alias("g2"))
+    keys = rows.where("id % 10 = 3").select("g1", "g2")
+    wanted = F.col("id") % 10 == 3
+    for words, most in ((bloom_cascade.MOST_WORDS, 400), (16, 18_000)):
+        marked = bloom_cascade.mark_likely(rows, keys, words)
+        assert marked.columns == ["id", "g1", "g2", "likely"] and marked.where(wanted & F.col("likely")).count() == 2000
+        assert marked.count() == 20_000 and marked.where(~wanted & F.col("likely")).count() <= most
+    assert bloom_cascade.mark_likely(rows, keys.limit(0)).where("likely").count() == 0
+
+
 def test_network_learns_and_scores_whole_texts(spark):
     rng = random.Random(4)
     good = [" ".join(rng.choices(["river", "stone", "under", "light", "the", "and"], k=rng.randint(5, 300))) for _ in range(150)]
