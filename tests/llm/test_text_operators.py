@@ -162,6 +162,21 @@ def test_bootstrap_goes_on_from_what_it_found(spark):
     assert found[10:20] == ["id:21:37"] * 10 and found[20:30] == ["id:12:28"] * 10 and found[30:] == [""] * 3
 
 
+def test_bootstrap_takes_long_words(spark):
+    """Words of more than 64 characters are candidates, and the word before counts whole however far off it is."""
+    numbers = [f"41111111111111{i:02}" for i in range(100)]
+    valid, other = [n for n in numbers if _luhn(n)], [n for n in numbers if not _luhn(n)][:10]
+    rows = [f"filler account {'k' * 3000}-{n}, end" for n in valid + other] + ["page 12 of"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = [r.spans for r in sorted(pii_bootstrap.digests(pii_bootstrap.find(docs)).collect(), key=lambda r: r.doc_id)]
+    assert found == ["card:3016:3032"] * 10 + ["id:15:3032"] * 10 + [""]
+    texts = [f"{'b' * 80} 12", f"a{'b' * 79} 12", f"account{' ' * 90}12", "no. 1" + "!" * 20_000 + "2" + "!" * 20_000, "ref 1" + "2" * 500, "ref 1" + "3" * 500]
+    seen = pii_bootstrap.occurrences(pii_bootstrap.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    assert len(seen) == 6 and {"account 9:2", "ref 9:501"} <= {r.pattern for r in seen}
+    assert len({r.pattern for r in seen}) == 5 and len({r.instance for r in seen}) == 4
+    assert {r.end for r in seen if r.start == 4} == {505, 20_006} and max(len(r.pattern + r.instance) for r in seen) < 150
+
+
 def test_every_base_span_is_a_seed(spark):
     texts = ["mail bob@example.com now", "call +1 (212) 555-0000 now", "card 4111 1111 1111 1111", "at @home"]
     seen = pii_bootstrap.occurrences(pii_bootstrap.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
