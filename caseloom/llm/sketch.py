@@ -29,7 +29,7 @@ def document_frequencies(texts: DataFrame, items, column: str = "text") -> np.nd
         cells = np.zeros(CELLS, np.uint32)
         for batch in batches:
             for text in batch.column(column).to_pylist():
-                np.add.at(cells, cell_of(items(text)), 1)
+                np.add.at(cells, cell_of(items(text)), np.uint32(1))  # Of the array's type: many times as fast.
         parts = np.split(cells, SLICES)
         sums = pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())
         task = pa.array([TaskContext.get().partitionId()] * SLICES, pa.int64())

@@ -138,6 +138,35 @@ def test_rows_of_large_groups_are_in_few_tiles(spark):
     assert min(len(r.tiles) for r in ngram_join._in_tiles(long, 80, ngram_join.WIDE).select("tiles").collect()) > 20
 
 
+@pytest.mark.parametrize("percent", [50, 74, 75, 80, 90, 99])
+def test_linked_sets_share_a_first_block(percent):
+    rng = np.random.default_rng(percent)
+    flat, classes = np.full(sketch.CELLS, 9, np.uint16), ngram_join.Classes(percent, 12)
+    flat[rng.integers(0, sketch.CELLS, sketch.CELLS // 4)] = 12
+    linked = 0
+    for n in [*range(1, 40), *rng.integers(40, 2000, 60).tolist()]:
+        base = rng.integers(0, 2**64, 4 * n + 9, dtype=np.uint64)
+        own = np.sort(base[:n])
+        most = 100 * n // percent
+        for size, kept in ((most, n), (n, -(-2 * n * percent // (100 + percent))), (-(-n * percent // 100), -(-n * percent // 100)), ((n + most) // 2, -(-(n + (n + most) // 2) * percent // (100 + percent)))):
+            other = np.sort(np.concatenate([base[n - kept : n], base[n : n + size - kept]]))
+            if 100 * kept >= percent * (n + size - kept) and kept < max(n, size):
+                linked += 1
+                assert np.intersect1d(*(ngram_join.rare_first(x, flat, classes) for x in (own, other))).size, (n, size, kept)
+    assert linked > 50
+
+
+def test_few_sets_are_chained_when_the_sketch_is_full():
+    """The sketch tells nothing once all cells are full: sets that share single n-grams with many others are still not chained."""
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 2**64, 40_000, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, 200)) for _ in range(2000)]  # Each n-gram is in ten of them.
+    flat = np.full(sketch.CELLS, 500, np.uint16)
+    for percent, most in ((80, 200), (90, 10)):
+        blocks, counts = np.unique(np.concatenate([ngram_join.rare_first(s, flat, ngram_join.Classes(percent)) for s in sets]), return_counts=True)
+        assert (counts - 1).sum() <= most
+
+
 def test_survivors_of_bitmaps_hold_all_links():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**62, 400).astype(np.uint64)
